@@ -43,7 +43,7 @@ def _ln_fact(x: str) -> str:
 
 
 def _ln_choose(n: str, k: str) -> str:
-    return f"({_ln_fact(n)} - {_ln_fact(k)} - {_ln_fact(f'{n} - {k}')})"
+    return f"({_ln_fact(n)} - {_ln_fact(k)} - {_ln_fact(f'{n} - ({k})')})"
 
 
 def hypergeometric(total: str, good: str, drawn: str, u: str) -> str:
