@@ -5,7 +5,7 @@
 
 from importlib import import_module
 
-MODULES = ("mixing",)
+MODULES = ("mixing", "quality")
 
 
 def queries() -> dict:
