@@ -5,7 +5,7 @@
 
 from importlib import import_module
 
-MODULES = ("mixing", "quality")
+MODULES = ("mixing", "quality", "simhash")
 
 
 def queries() -> dict:
