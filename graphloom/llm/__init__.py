@@ -5,7 +5,7 @@
 
 from importlib import import_module
 
-MODULES = ("mixing", "quality", "simhash")
+MODULES = ("mixing", "quality", "simhash", "lines")
 
 
 def queries() -> dict:
