@@ -5,7 +5,7 @@
 
 from importlib import import_module
 
-MODULES = ("mixing", "quality", "simhash", "lines")
+MODULES = ("mixing", "quality", "simhash", "lines", "packing")
 
 
 def queries() -> dict:
