@@ -5,7 +5,7 @@
 
 from importlib import import_module
 
-MODULES = ("mixing", "quality", "simhash", "lines", "packing")
+MODULES = ("mixing", "quality", "simhash", "lines", "packing", "substrings", "suffixes")
 
 
 def queries() -> dict:
