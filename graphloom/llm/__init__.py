@@ -5,7 +5,7 @@
 
 from importlib import import_module
 
-MODULES = ("mixing", "quality", "simhash", "lines", "packing", "substrings", "suffixes")
+MODULES = ("mixing", "quality", "simhash", "lines", "packing", "substrings", "suffixes", "fingerprints")
 
 
 def queries() -> dict:
