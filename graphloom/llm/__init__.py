@@ -5,7 +5,7 @@
 
 from importlib import import_module
 
-MODULES = ("mixing", "quality", "simhash", "lines", "packing", "substrings", "suffixes", "fingerprints")
+MODULES = ("mixing", "quality", "simhash", "lines", "packing", "substrings", "suffixes", "fingerprints", "licenses", "warc")
 
 
 def queries() -> dict:
