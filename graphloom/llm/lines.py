@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from .common import stored, table, texts
 
-MIN_CHARS, MIN_DOCS, MOST_BITS, SEGMENT = 20, 3, 1 << 29, 1 << 16
+MIN_CHARS, MIN_DOCS, MOST_BITS, SEGMENT, SALTS = 20, 3, 1 << 29, 1 << 16, 16
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -130,7 +130,10 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     """
     found = stored(suspects(docs, min_chars, most_bits))
     shared = found.groupBy("hi", "lo").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).drop("n")
-    lost = found.join(shared, ["hi", "lo"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo")).alias("lost"))
+    # A very common line has a row in a third of all documents: each key is joined in SALTS parts.
+    salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    shared = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    lost = salted.join(shared, ["hi", "lo", "salt"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo")).alias("lost"))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
     both = row.join(lost.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("row", "text", "lost")
 
