@@ -10,10 +10,13 @@ a run of windows whose anchor is at one place.
    sends an anchor's digest once, and the segments of an anchor that already differ in
    that task skip the anchor (a mark goes in their place), so that an anchor gets a few
    rows from each task at most, however common its text is.
-2. First segments of anchors with several digests are looked at window by window: a
-   block of documents at a time finds its equal windows, and sends each once to its
-   128-bit digest, where the first in order is kept and the others are repeats.
-3. Each document gets its repeats by its id and loses what they cover.
+2. First segments of anchors with several digests are looked at window by window. Short
+   windows (bytes): the segments' text goes to its anchor, where a block of anchors at a
+   time finds its equal windows; an anchor with more text than a block is passed on by
+   windows. Long ones (words): a block of documents finds its equal windows and passes on
+   each once. What is passed on meets at 128-bit digests of windows.
+3. Each document gets its repeats by its id and loses what they cover. The join reads the
+   same dealt documents as step 2's: the texts shuffle once.
 
 Ranges are packed in a long: 24 bits of the text's hash (which tells rows of an equal
 doc_id apart), 32 of the first window, 8 of the number of windows.
@@ -26,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,6 +103,12 @@ def word_units(data: np.ndarray, offsets: np.ndarray) -> Units:
     return Units(hashes(prefix(BYTE_CODES[data]), first, last) | _U(1), np.searchsorted(first, offsets))
 
 
+def _grams(codes: np.ndarray, gram: int, sums: np.ndarray | None = None) -> np.ndarray:
+    """Hash of the gram at each place, for texts of at least one gram."""
+    sums = prefix(codes) if sums is None else sums
+    return spread_bits((sums[gram:] - sums[:-gram]) * powers(BASE_INVERSE, len(codes) - gram + 1))
+
+
 def segments(u: Units, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """anchor, digest, first window (a unit's number), windows of each segment."""
     n, none = len(u.codes), np.empty(0, np.int64)
@@ -110,7 +120,7 @@ def segments(u: Units, length: int, gram: int) -> tuple[np.ndarray, np.ndarray,
     if not valid.any():
         return none.view(_U), none.view(_U), none, none
     sums = prefix(u.codes)
-    grams = spread_bits((sums[gram:] - sums[:-gram]) * powers(BASE_INVERSE, n - gram + 1))
+    grams = _grams(u.codes, gram, sums)
     w = length - gram + 1
     padded = np.full(-(-(len(grams) + w) // w) * w, np.iinfo(_U).max, _U)
     low = _U((1 << 28) - 1)  # the leftmost of equal grams: a run has one place as its anchor, so no two of its windows are equal
@@ -226,7 +236,7 @@ def _meet(rule: Rule, windows: bool):
 
     def settle(kind, r, s, doc, place) -> pa.RecordBatch | None:
         through = (kind == SURE) | (kind == LOOK)
-        out = [(kind[through], doc[through], place[through])]
+        out = [(kind[through], r[through], doc[through], place[through])]
         rest = ~through
         kind, r, s, doc, place = kind[rest], r[rest], s[rest], doc[rest], place[rest]
         if len(r):
@@ -239,11 +249,11 @@ def _meet(rule: Rule, windows: bool):
                 first = np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))
                 again = rule.repeats(doc, place, first)
                 mixed = (marked | (np.bincount(group, weights=new, minlength=len(marked)) > 1))[group]
-                out.append((np.full(again.sum(), SURE), doc[again], place[again]))
+                out.append((np.full(again.sum(), SURE), r[again], doc[again], place[again]))
                 look = ~again & mixed & (not windows)
-                out.append((np.full(look.sum(), LOOK), doc[look], place[look]))
-        kind, doc, place = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int8)), pa.array(doc), pa.array(place)], ["kind", "doc", "place"]) if len(kind) else None
+                out.append((np.full(look.sum(), LOOK), r[look], doc[look], place[look]))
+        kind, r, doc, place = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int8)), pa.array(r), pa.array(doc), pa.array(place)], ["kind", "r", "doc", "place"]) if len(kind) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -311,18 +321,160 @@ def _look(rule: Rule, classes: Callable):
     return run
 
 
-def _sorted(df: DataFrame, n: int) -> DataFrame:
-    return df.repartition(n, "r").sortWithinPartitions("r", "s", "doc", "place")
+def _cut(rule: Rule):
+    """Documents with segments to look at -> the segments' bytes by anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            r, doc, place, body, held = [], [], [], [], 0
+            for d, t, ranges in zip(b.column(0).to_pylist(), texts(b.column(2)), b.column(3), strict=True):
+                raw, places = t.encode(), np.sort(np.asarray(ranges.values))
+                first, size = unpack(places)
+                data = np.frombuffer(raw, np.uint8)
+                # one gram is common to a segment's windows and least in each of them: the anchor again
+                grams = _grams(BYTE_CODES[data], rule.gram)
+                for p, i, n in zip(places.tolist(), first.tolist(), size.tolist(), strict=True):
+                    common = grams[i + n - 1 : i + rule.length - rule.gram + 1]
+                    r.append(int(common[np.argmin(common >> _U(28))].view(np.int64)))
+                    doc.append(d)
+                    place.append(p)
+                    body.append(raw[i : i + n + rule.length - 1])
+                    held += len(body[-1])
+                if held > 1 << 22:
+                    yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(doc, pa.int64()), pa.array(place, pa.int64()), pa.array(body, pa.binary())], ["r", "doc", "place", "body"])
+                    r, doc, place, body, held = [], [], [], [], 0
+            if r:
+                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(doc, pa.int64()), pa.array(place, pa.int64()), pa.array(body, pa.binary())], ["r", "doc", "place", "body"])
+
+    return run
+
+
+def _settle(rule: Rule, data: np.ndarray, start: np.ndarray, doc: np.ndarray, first: np.ndarray, tag: np.ndarray, classes: Callable, final: bool) -> Iterator[pa.RecordBatch]:
+    """Windows of one block -> its repeats as ranges, and unless they are final the others by digest.
+
+    start: where a window is in the block; first: where it is in its document.
+    """
+    order = np.lexsort((first, doc))
+    start, doc, first, tag = start[order], doc[order], first[order], tag[order]
+    found, digest = classes(data, start)
+    place = pack(tag, first, np.ones(len(start), np.int64))
+    order = np.argsort(found, kind="stable")  # document order within a class
+    lead = np.empty(len(order), np.int64)
+    lead[order] = order[np.maximum.accumulate(np.where(_first_of(found[order]), np.arange(len(order)), 0))]
+    again = rule.repeats(doc, place, lead)
+    if again.any():  # consecutive windows as one range
+        d, p, t = doc[again], first[again], tag[again]
+        new = np.ones(len(p), bool)
+        new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (p[1:] != p[:-1] + 1) | ((np.arange(1, len(p)) % RUN) == 0)
+        head = np.flatnonzero(new)
+        ranges = pack(t[head], p[head], np.diff(np.concatenate((head, [len(p)]))))
+        yield _batch(np.full(len(head), SURE), spread_bits(ranges.view(_U) * _U(31) + d[head].view(_U)), np.zeros(len(head), np.int64), d[head], ranges)
+    rest = np.flatnonzero(~again) if not final else ()
+    if len(rest):
+        ids = digest(rest)
+        yield _batch(np.full(len(rest), OPEN), ids[:, 0], ids[:, 1], doc[rest], place[rest])
+
+
+def _at_anchor(rule: Rule, classes: Callable, block: int):
+    """Segments in order of anchor -> repeats. A block holds whole anchors; the parts of one that outgrows it are not final."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # (r, doc, place, body) columns
+        size, large = 0, None
+
+        def flush(rows: list[tuple], final: bool) -> Iterator[pa.RecordBatch]:
+            r, doc, place = (np.concatenate([x[i] for x in rows]) for i in range(3))
+            data, offsets = utf8(pa.concat_arrays([x[3] for x in rows]))
+            first, n = unpack(place)
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield from _settle(rule, data, np.repeat(offsets[:-1], n) + at, np.repeat(doc, n), np.repeat(first, n) + at, np.repeat(place >> 40, n), lambda d, s: classes(d, s, rule.length), final)
+
+        for b in batches:
+            r, doc, place = (np.asarray(b.column(i)) for i in range(3))
+            for i, j in pieces(b, 3, block):
+                part = (r[i:j], doc[i:j], place[i:j], b.column(3).slice(i, j - i).cast(pa.large_binary()).cast(pa.binary()))
+                held.append(part)
+                size += pc.sum(pc.binary_length(part[3])).as_py() or 0
+                if size < block:
+                    continue
+                last = part[0][-1]
+                if held[0][0][0] == last:  # one anchor fills the block
+                    yield from flush(held, False)
+                    held, size, large = [], 0, last
+                    continue
+                cut = int(np.searchsorted(part[0], last))
+                tail = tuple(x[cut:] for x in part)
+                whole = [tuple(x[:cut] for x in part)] if cut else []
+                rows = held[:-1] + whole
+                k = next((k for k, x in enumerate(rows) if x[0][-1] == last), None)
+                if k is not None:  # the anchor began in an earlier part
+                    c = int(np.searchsorted(rows[k][0], last))
+                    carry = [tuple(x[c:] for x in rows[k]), *rows[k + 1 :], tail]
+                    rows = rows[:k] + ([tuple(x[:c] for x in rows[k])] if c else [])
+                else:
+                    carry = [tail]
+                yield from split(rows, flush, large)
+                held, size, large = carry, sum(pc.sum(pc.binary_length(x[3])).as_py() or 0 for x in carry), None
+        if held:
+            yield from split(held, flush, large)
+
+    def split(rows: list[tuple], flush, large) -> Iterator[pa.RecordBatch]:
+        """The rest of an anchor that was not final is not final either."""
+        if large is None:
+            yield from flush(rows, True)
+            return
+        here = [tuple(x[: int(np.searchsorted(part[0], large, side="right"))] for x in part) for part in rows]
+        rest = [tuple(x[int(np.searchsorted(part[0], large, side="right")) :] for x in part) for part in rows]
+        for some, final in ((here, False), (rest, True)):
+            some = [x for x in some if len(x[0])]
+            if some:
+                yield from flush(some, final)
+
+    return run
+
+
+def _look(rule: Rule, classes: Callable):
+    """Blocks of documents with segments to look at -> their windows: repeats within the block, and the rest by digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j in pieces(b, 2):
+                part = b.slice(i, j - i)
+                data, offsets = utf8(part.column(2))
+                docs, tags = np.asarray(part.column(0)), np.asarray(part.column(1))
+                begin, end = word_places(data, offsets) if len(data) else (np.empty(0, np.int64),) * 2
+                bounds = np.searchsorted(begin, offsets)
+                lists = part.column(3)
+                text = np.repeat(np.arange(len(docs)), np.diff(np.asarray(lists.offsets)))
+                first, size = unpack(np.asarray(lists.flatten()))
+                at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                first, text = np.repeat(first, size) + at, np.repeat(text, size)
+                yield from _settle(rule, data, first + bounds[text], docs[text], first, tags[text], lambda d, s, begin=begin, end=end: classes(d, s, begin, end, rule.length), False)
+
+    return run
+
+
+def _sorted(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    return df.repartition(n, "r").sortWithinPartitions("r", *keys, "doc", "place")
+
+
+BLOCK = 1 << 21  # bytes of text whose windows are sorted together
 
 
-def repeats(docs: DataFrame, rule: Rule, classes: Callable) -> DataFrame:
-    """docs (doc: long, tag: long, text) -> (doc, tag, ranges): packed window ranges that repeat earlier text, a row for each document with any."""
-    n, out = partitions(docs), "kind byte, doc long, place long"
-    found = stored(_sorted(docs.select("doc", "tag", "text").mapInArrow(_send(rule), ROWS), n).mapInArrow(_meet(rule, False), out))
+def repeats(docs: DataFrame, rule: Rule, classes: Callable, block: int = BLOCK) -> DataFrame:
+    """docs (row, doc: long, tag: long, text) -> (doc, tag, ranges): packed window ranges that repeat earlier text, a row for each document with any."""
+    n, out = partitions(docs), "kind byte, r long, doc long, place long"
+    found = stored(_sorted(docs.select("doc", "tag", "text").mapInArrow(_send(rule), ROWS), n, "s").mapInArrow(_meet(rule, False), out))
     by_doc = lambda df: df.groupBy("doc", F.shiftright("place", 40).alias("tag")).agg(F.collect_list("place").alias("ranges"))
     look = by_doc(found.where(F.col("kind") == LOOK))
-    blocks = docs.join(look, ["doc", "tag"]).select("doc", "tag", "text", "ranges")
-    window = _sorted(blocks.mapInArrow(_look(rule, classes), ROWS), n).mapInArrow(_meet(rule, True), out)
+    # `row` isn't read here: with it both joins read one exchange of the documents
+    blocks = docs.join(look, ["doc", "tag"]).select("doc", "tag", "text", "ranges", "row")
+    if rule.words:
+        window = blocks.mapInArrow(_look(rule, classes), ROWS)
+    else:
+        cut = blocks.mapInArrow(_cut(rule), "r long, doc long, place long, body binary")
+        window = _sorted(cut, n).mapInArrow(_at_anchor(rule, classes, block), ROWS)
+    window = _sorted(window, n, "s").mapInArrow(_meet(rule, True), out)
     return by_doc(found.where(F.col("kind") == SURE).select("doc", "place").union(window.select("doc", "place")))
 
 
@@ -337,13 +489,13 @@ def covered(ranges: np.ndarray, length: int) -> list[tuple[int, int]]:
 
 
 def remove(docs: DataFrame, rule: Rule, classes: Callable) -> DataFrame:
-    """docs -> `row` (docs' own columns), n_units, n_removed, n_spans, kept (binary).
+    """docs -> `row` (docs' own columns but text), n_units, n_removed, n_spans, kept (binary).
 
     kept: what is left of the bytes, or of the words joined by a space.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"),
         F.xxhash64(text).bitwiseAND(F.lit((1 << 23) - 1)).alias("tag"),
         text.alias("text"),

@@ -1,7 +1,7 @@
 """Substring dedup over bytes by blockwise suffix sorting with a difference cover.
 
-A task's block is the text around the places that may repeat (spans.py finds those,
-settles identical segments first and joins the blocks by digest afterwards). Within a
+A block is the text around places that may repeat, dealt by anchors so that equal windows
+share a block (spans.py finds the places and settles identical segments first). Within a
 block the suffixes, to a depth of 100 bytes, are sorted one bucket of leading bytes at a
 time, so that the keys in memory are those of one bucket. Bytes 0 to 20 and 79 to 99 are
 compared as they are; between them the ranks of cover-sample suffixes, computed once a
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .spans import Rule, remove
 
-LENGTH, GRAM = 100, 32
+LENGTH, GRAM = 100, 24
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 BUCKET = 1 << 17  # suffixes sorted at a time, unless one 8-byte key has more
 
