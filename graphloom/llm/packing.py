@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import stored, table, texts
 
-LENGTH, CLOSE, PER_TASK, TABLE_ROWS = 4096, 1, 32768, 400_000
+LENGTH, CLOSE, PER_TASK = 4096, 1, 32768
+WORDS_KEPT, PARTS_KEPT = 1_000_000, 600_000  # some 200 bytes each
 #: Chunks of these characters alone are in composed form, and lower-casing keeps their number of letters.
 _PLAIN = regex.compile("[!-~¡-įı-ſ]+")
 
@@ -86,17 +87,22 @@ class Encoder:
         for (w, _), e in zip(odd, self.whole.encode_batch([c for _, c in odd], add_special_tokens=False), strict=True):
             self.words[w] = array("I", e.ids).tobytes()
 
-    def encode(self, text: str) -> bytes:
-        ws = text.encode().split()
-        known = self.words
-        try:
-            return b"".join([known[w] for w in ws])
-        except KeyError:
-            if len(known) > TABLE_ROWS or len(self.parts) > TABLE_ROWS:
-                known.clear()
+    def encode(self, found: list[str]) -> Iterator[bytes]:
+        """The ids of each text. New words of about 2 MB of text are learned together."""
+        at = 0
+        while at < len(found):
+            split, size = [], 0
+            while at < len(found) and (not split or size < 1 << 21):
+                split.append(found[at].encode().split())
+                size += len(found[at])
+                at += 1
+            if len(self.words) > WORDS_KEPT or len(self.parts) > PARTS_KEPT:
+                self.words.clear()
                 self.parts.clear()
-            self._learn(list({w for w in ws if w not in known}))
-            return b"".join([known[w] for w in ws])
+            known = self.words
+            self._learn(list({w for ws in split for w in ws if w not in known}))
+            for ws in split:
+                yield b"".join([known[w] for w in ws])
 
 
 def cut(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
@@ -107,8 +113,8 @@ def cut(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataF
         encode, close = Encoder.of(path).encode, array("I", [CLOSE]).tobytes()
         for b in batches:
             row, piece, start, size, crc = [], [], [], [], []
-            for i, t in enumerate(texts(b.column(1))):
-                ids = encode(t) + close
+            for i, ids in enumerate(encode(texts(b.column(1)))):
+                ids += close
                 for n, at in enumerate(range(0, len(ids), 4 * length)):
                     part = ids[at : at + 4 * length]
                     row.append(i)
@@ -201,8 +207,8 @@ def sequences(docs: DataFrame, packed: DataFrame, path: str | None = None, lengt
         encode, close = Encoder.of(path).encode, array("I", [CLOSE]).tobytes()
         for b in batches:
             row, piece, ids = [], [], []
-            for i, t in enumerate(texts(b.column(1))):
-                all_ids = encode(t) + close
+            for i, all_ids in enumerate(encode(texts(b.column(1)))):
+                all_ids += close
                 for n, at in enumerate(range(0, len(all_ids), 4 * length)):
                     row.append(i)
                     piece.append(n)
