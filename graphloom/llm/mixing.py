@@ -154,7 +154,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
     shares = shares.join(ids, "at").select("n", "shard", F.explode(F.expr("sequence(start, start + quota - 1)")).alias("draw"))
     drawn = blocks.select("n", "block", F.explode(F.expr("sequence(0L, epochs)")).alias("epoch"), "epochs", "start", "rest", "bits").where("epoch < epochs or start < rest")
     drawn = drawn.withColumn("draw", F.expr("epoch * shiftleft(1L, bits) + block")).join(shares, ["n", "draw"])
-    drawn = drawn.groupBy("n", "block").agg(F.collect_list(F.struct("epoch", "shard")).alias("got"))
+    drawn = drawn.groupBy("n", "block").agg(F.array_sort(F.collect_list(F.struct("epoch", "shard"))).alias("got"))
     blocks = blocks.join(drawn, ["n", "block"], "left").select(
         "n", "block", "got", F.when((F.col("start") < F.col("rest")) & (F.col("start") + F.col("words") > F.col("rest")), F.col("rest") - F.col("start")).alias("gap"), "epochs"
     )
