@@ -125,16 +125,55 @@ class Sketch:
         return np.concatenate([none, *mine]), np.concatenate([none, *theirs])
 
 
-def likeness(a: np.ndarray, b: np.ndarray, sketch_a: Sketch, sketch_b: Sketch) -> float:
-    """|A and B| / |A or B| of two digest sets, from the difference that their sketches peel to."""
-    cells = min(len(sketch_a.count), len(sketch_b.count)) // HASHES
-    found = sketch_a.fold(cells).peel(sketch_b.fold(cells))
-    while found is None:  # too many differences for so few cells
-        cells *= 2
-        found = Sketch.of(a, cells).peel(Sketch.of(b, cells))
-    only_a, only_b = len(found[0]), len(found[1])
-    both = len(a) - only_a
-    return both / (both + only_a + only_b) if both + only_a + only_b else 1.0
+def differences(pairs: list[tuple[Sketch, Sketch]]) -> list[tuple[int, int] | None]:
+    """How many digests only the first and only the second of each pair have; None where peeling sticks. All pairs peel at once."""
+    cells = np.array([len(a.count) // HASHES for a, _ in pairs])
+    base = np.concatenate(([0], np.cumsum(cells * HASHES)))
+    count = np.concatenate([a.count - b.count for a, b in pairs])
+    key, check = np.concatenate([a.key ^ b.key for a, b in pairs]), np.concatenate([a.check ^ b.check for a, b in pairs])
+    mine, theirs = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
+    at = np.flatnonzero(count)
+    while len(at):
+        at = at[(np.abs(count[at]) == 1) & (_check(key[at]) == check[at])]
+        pair = np.searchsorted(base, at, side="right") - 1
+        d, sign = key[at], count[at]
+        mask = (cells[pair] - 1).astype(_U)
+        own = np.stack([((d * _U(s)) >> _U(24)) & mask for s in _SALTS]).astype(np.int64) + np.arange(HASHES)[:, None] * cells[pair] + base[pair]
+        whole = (own == at).any(0)  # a digest stands in its own cells
+        pair, d, sign, own = pair[whole], d[whole], sign[whole], own[:, whole]
+        order = np.lexsort((d, pair))  # a digest that stands alone in two cells counts once
+        first = np.ones(len(order), bool)
+        first[1:] = (d[order][1:] != d[order][:-1]) | (pair[order][1:] != pair[order][:-1])
+        keep = order[first]
+        pair, d, sign, own = pair[keep], d[keep], sign[keep], own[:, keep].ravel()
+        mine += np.bincount(pair[sign > 0], minlength=len(pairs))
+        theirs += np.bincount(pair[sign < 0], minlength=len(pairs))
+        every = np.tile(d, HASHES)
+        np.subtract.at(count, own, np.tile(sign, HASHES))
+        np.bitwise_xor.at(key, own, every)
+        np.bitwise_xor.at(check, own, _check(every))
+        at = np.unique(own)
+    left = np.add.reduceat((count != 0) | (key != 0) | (check != 0), base[:-1]) if len(pairs) else ()
+    return [None if stuck else (int(a), int(b)) for stuck, a, b in zip(left, mine, theirs, strict=True)]
+
+
+def likeness(pairs: list[tuple[np.ndarray, np.ndarray, Sketch, Sketch]]) -> list[float]:
+    """|A and B| / |A or B| of pairs of digest sets, from the differences that their sketches peel to."""
+    out, todo = [0.0] * len(pairs), []
+    for n, (_, _, x, y) in enumerate(pairs):
+        cells = min(len(x.count), len(y.count)) // HASHES
+        todo.append((n, cells, x.fold(cells), y.fold(cells)))
+    while todo:
+        again = []
+        for (n, cells, _, _), found in zip(todo, differences([(x, y) for _, _, x, y in todo]), strict=True):
+            a, b, _, _ = pairs[n]
+            if found is None:  # too many differences for so few cells
+                again.append((n, 2 * cells, Sketch.of(a, 2 * cells), Sketch.of(b, 2 * cells)))
+            else:
+                both = len(a) - found[0]
+                out[n] = both / (both + sum(found)) if both + sum(found) else 1.0
+        todo = again
+    return out
 
 
 def ranges(docs: DataFrame) -> tuple[DataFrame, list[tuple[int, int | None]]]:
@@ -173,9 +212,17 @@ def compare(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        before = None  # (doc_id, text, digests, sketch) of the row that waits for its next
+        before, rows, pairs = None, [], []  # before: (bucket, doc_id, text, digests, sketch) of the row that waits for its next
+
+        def flush() -> pa.RecordBatch:
+            near = likeness(pairs)
+            columns = [*zip(*rows, strict=True), near[::2], near[1::2]]
+            rows.clear()
+            pairs.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names)
+
+        size = 0
         for b in batches:
-            rows = []
             for place, extra, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), texts(b.column(3)), strict=True):
                 digests = paragraphs(t)
                 now = (place, i, t, digests, Sketch.of(digests, size_for(len(digests))))
@@ -185,13 +232,15 @@ def compare(docs: DataFrame) -> DataFrame:
                     edited = old[: len(old) - half] + t[:half]
                     e = paragraphs(edited)
                     changed = Sketch.of(e, size_for(len(e)))
-                    rows.append((j, len(old), hashlib.sha256(edited.encode()).hexdigest(), sketch.text(), changed.text(), likeness(d, e, sketch, changed), likeness(d, digests, sketch, now[4])))
+                    rows.append((j, len(old), hashlib.sha256(edited.encode()).hexdigest(), sketch.text(), changed.text()))
+                    pairs += [(d, e, sketch, changed), (d, digests, sketch, now[4])]
+                    size += len(old) + len(t)
                 before = None if extra else now
-                if len(rows) >= 256:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names)
+                if size > 1 << 21:
+                    yield flush()
+                    size = 0
+        if rows:
+            yield flush()
 
     return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
