@@ -14,22 +14,21 @@ EDGE = {"unicode": (r"(?U)\b", r"\b"), "ascii": ("(?<![A-Za-z0-9_])", "(?![A-Za-
 # Words that are no entity when they stand alone.
 STOPWORDS = ("The", "This", "That", "It", "They", "He", "She", "In", "On", "At", "For", "With")
 
-_NAME = r"([A-Z][A-Za-z0-9\s.]+?)"
 # Relation patterns, their relation ({rel}: the middle group) and number of groups.
 RELATIONS = (
-    (_NAME + r"\s+(?:was|is)\s+born\s+in\s+" + _NAME + r"(?:,|\.|\s+on|\s+in)", "born in", 2),
-    (_NAME + r"\s+(?:is|was)\s+(?:the|an?)\s+([A-Za-z\s]+?)\s+of\s+" + _NAME + r"(?:,|\.|\s+who|\s+which)", "is {rel} of", 3),
-    (r"(?:capital|largest city)\s+(?:is|was)\s+" + _NAME + r"(?:,|\.|\s+while)", "capital is", 1),
-    (_NAME + r"\s+married\s+" + _NAME + r"(?:,|\.|\s+in)", "married", 2),
-    (r"(?:was\s+)?directed\s+by\s+" + _NAME + r"(?:,|\.|\s+and)", "directed by", 1),
-    (_NAME + r"\s+directed\s+(?:the\s+film|the\s+movie\s+)?" + _NAME + r"(?:,|\.|\s+and)", "directed", 2),
-    (r"(?:was\s+)?produced\s+by\s+" + _NAME + r"(?:,|\.|\s+and)", "produced by", 1),
-    (r"(?:was\s+)?founded\s+(?:in\s+\d{4}\s+)?by\s+" + _NAME + r"(?:,|\.|\s+in)", "founded by", 1),
-    (r"(?:Headquartered|headquartered)\s+in\s+" + _NAME + r"(?:,|\.|\s+and)", "headquartered in", 1),
-    (r"(?:was\s+)?educated\s+at\s+" + _NAME + r"(?:,|\.|\s+and)", "educated at", 1),
-    (r"(?:received|won|earned)\s+(?:the\s+)?" + _NAME + r"(?:,|\.|\s+with|\s+in)", "received award", 1),
-    (r"collaborated\s+with\s+" + _NAME + r"(?:,|\.|\s+on)", "collaborated with", 1),
-    (r"(?:play|novel|book|magnum opus)\s+(?:in\s+[a-z0-9\s]+\s+)?by\s+" + _NAME + r"(?:,|\.|\s+and)", "author", 1),
+    (r"([A-Z][A-Za-z0-9\s.]+?)\s+(?:was|is)\s+born\s+in\s+([A-Z][A-Za-z0-9\s.]+?)(?:,|\.|\s+on|\s+in)", "born in", 2),
+    (r"([A-Z][A-Za-z0-9\s.]+?)\s+(?:is|was)\s+(?:the|an?)\s+([A-Za-z\s]+?)\s+of\s+([A-Z][A-Za-z0-9\s.]+?)(?:,|\.|\s+who|\s+which)", "is {rel} of", 3),
+    (r"(?:capital|largest city)\s+(?:is|was)\s+([A-Z][A-Za-z0-9\s.]+?)(?:,|\.|\s+while)", "capital is", 1),
+    (r"([A-Z][A-Za-z0-9\s.]+?)\s+married\s+([A-Z][A-Za-z0-9\s.]+?)(?:,|\.|\s+in)", "married", 2),
+    (r"(?:was\s+)?directed\s+by\s+([A-Z][A-Za-z0-9\s.]+?)(?:,|\.|\s+and)", "directed by", 1),
+    (r"([A-Z][A-Za-z0-9\s.]+?)\s+directed\s+(?:the\s+film|the\s+movie\s+)?([A-Z][A-Za-z0-9\s.]+?)(?:,|\.|\s+and)", "directed", 2),
+    (r"(?:was\s+)?produced\s+by\s+([A-Z][A-Za-z0-9\s.]+?)(?:,|\.|\s+and)", "produced by", 1),
+    (r"(?:was\s+)?founded\s+(?:in\s+\d{4}\s+)?by\s+([A-Z][A-Za-z0-9\s.]+?)(?:,|\.|\s+in)", "founded by", 1),
+    (r"(?:Headquartered|headquartered)\s+in\s+([A-Z][A-Za-z0-9\s.]+?)(?:,|\.|\s+and)", "headquartered in", 1),
+    (r"(?:was\s+)?educated\s+at\s+([A-Z][A-Za-z0-9\s.]+?)(?:,|\.|\s+and)", "educated at", 1),
+    (r"(?:received|won|earned)\s+(?:the\s+)?([A-Z][A-Za-z0-9\s.]+?)(?:,|\.|\s+with|\s+in)", "received award", 1),
+    (r"collaborated\s+with\s+([A-Z][A-Za-z0-9\s.]+?)(?:,|\.|\s+on)", "collaborated with", 1),
+    (r"(?:play|novel|book|magnum opus)\s+(?:in\s+[a-z0-9\s]+\s+)?by\s+([A-Z][A-Za-z0-9\s.]+?)(?:,|\.|\s+and)", "author", 1),
 )
 #: What a sentence must have for each pattern above to be tried: found in one pass, while the patterns may try every capital letter.
 _NEEDS = (r"born\s+in", r"\s(?:is|was)\s+(?:the|an?)\s", r"(?:capital|largest city)\s", "married", r"directed\s+by", "directed", r"produced\s+by", "founded", "eadquartered", "educated", "received|won|earned", "collaborated", r"(?:play|novel|book|magnum opus)\s")
