@@ -6,8 +6,6 @@ first. All folds are hash aggregations with map-side combination.
 
 from __future__ import annotations
 
-from collections.abc import Iterator  # noqa: F401
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,14 +32,21 @@ def _at(phase: int, index: Column, step: int = 0) -> Column:
     return F.col("p_ord").cast("long") * _PASSAGE + phase * _PHASE + index.cast("long") * _STEP + step
 
 
+def contributions(extracted: DataFrame, cfg: GraphConfig = GraphConfig()) -> DataFrame:
+    """qid, pid, name, w, ord: each name of a passage, then both arguments of each triple. One pass over the passages."""
+    full = F.filter("facts", lambda t: (strip(t["subj"]) != "") & (strip(t["obj"]) != ""))
+    named = F.transform("names", lambda n, i: F.struct(strip(n).alias("name"), F.lit(cfg.mention_weight).alias("w"), _at(1, i).alias("ord")))
+    argument = lambda t, c, i, step: F.struct(strip(t[c]).alias("name"), F.lit(cfg.argument_weight).alias("w"), _at(2, i, step).alias("ord"))
+    given = F.flatten(F.transform(full, lambda t, i: F.array(argument(t, "subj", i, 1), argument(t, "obj", i, 2))))
+    return extracted.select("qid", "pid", F.explode(F.concat(named, given)).alias("x")).select("qid", "pid", "x.*").where("name <> ''")
+
+
 def nodes(extracted: DataFrame) -> DataFrame:
     """qid, node_id, node_type, pid, name, display_name, text, n_ord: passages and entities in order of first insertion."""
     p = extracted.select("qid", passage_node(F.col("pid")).alias("node_id"), F.lit("passage").alias("node_type"), "pid", F.lit(None).cast("string").alias("name"),
                          F.when(F.coalesce("title", F.lit("")) != "", F.col("title")).otherwise(F.concat(F.lit("Passage "), F.col("pid"))).alias("display_name"),
                          F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.substring(F.coalesce("text", F.lit("")), 1, 200)).alias("text"), _at(0, F.lit(0)).alias("ord"))
-    e = entity_rows(extracted).select("qid", strip(F.col("name")).alias("name"), _at(1, F.col("e_ord")).alias("ord"))
-    t = triple_rows(extracted).where((strip(F.col("subj")) != "") & (strip(F.col("obj")) != ""))
-    e = e.union(t.select("qid", strip(F.col("subj")), _at(2, F.col("t_ord"), 1))).union(t.select("qid", strip(F.col("obj")), _at(2, F.col("t_ord"), 2))).where("name <> ''")
+    e = contributions(extracted)
     e = e.groupBy("qid", entity_node(F.col("name")).alias("node_id")).agg(F.min_by("name", "ord").alias("name"), F.min("ord").alias("ord"))
     e = e.select("qid", "node_id", F.lit("entity").alias("node_type"), F.lit(None).cast("string").alias("pid"), "name", F.col("name").alias("display_name"), F.col("name").alias("text"), "ord")
     return p.union(e).withColumn("n_ord", F.row_number().over(W.partitionBy("qid").orderBy("ord", "node_id")) - 1).drop("ord")
@@ -49,11 +54,7 @@ def nodes(extracted: DataFrame) -> DataFrame:
 
 def association_edges(extracted: DataFrame, cfg: GraphConfig = GraphConfig()) -> DataFrame:
     """Passage to entity and back: capacities add up, the weight is that of the first contribution."""
-    e = entity_rows(extracted).select("qid", "pid", strip(F.col("name")).alias("name"), F.lit(cfg.mention_weight).alias("w"), _at(1, F.col("e_ord")).alias("ord"))
-    t = triple_rows(extracted).where((strip(F.col("subj")) != "") & (strip(F.col("obj")) != ""))
-    for step, c in ((1, "subj"), (2, "obj")):
-        e = e.union(t.select("qid", "pid", strip(F.col(c)), F.lit(cfg.argument_weight), _at(2, F.col("t_ord"), step)))
-    folded = e.where("name <> ''").groupBy("qid", passage_node(F.col("pid")).alias("p"), entity_node(F.col("name")).alias("e"))
+    folded = contributions(extracted, cfg).groupBy("qid", passage_node(F.col("pid")).alias("p"), entity_node(F.col("name")).alias("e"))
     folded = folded.agg(F.sum("w").alias("capacity"), F.min_by("w", "ord").alias("weight"), F.min("ord").alias("ord"))
     edge = lambda a, b, step: folded.select("qid", F.col(a).alias("src"), F.col(b).alias("dst"), (F.col("ord") * 2 + step).alias("ord"), F.lit("association").alias("edge_type"), F.lit("mentions").alias("relation"), "capacity", "weight")
     return edge("p", "e", 0).union(edge("e", "p", 1))
@@ -101,8 +102,7 @@ def synonymy_pairs(names: DataFrame, threshold: float, embed: EmbedConfig = Embe
 
 def synonymy_edges(extracted: DataFrame, cfg: GraphConfig = GraphConfig(), embed: EmbedConfig = EmbedConfig()) -> DataFrame:
     """Both directions of each similar pair of surface forms; of forms that share nodes the last pair counts. Forms that differ in case only give a loop."""
-    t = triple_rows(extracted)
-    names = entity_rows(extracted).select("qid", strip(F.col("name")).alias("name")).union(t.select("qid", strip(F.col("subj")))).union(t.select("qid", strip(F.col("obj")))).where("name <> ''").distinct()
+    names = contributions(extracted, cfg).select("qid", "name").distinct()
     pairs = synonymy_pairs(names, cfg.synonymy_threshold, embed)
     both = pairs.select("qid", entity_node(F.col("left")).alias("src"), entity_node(F.col("right")).alias("dst"), "sim", "i", "j", F.lit(0).alias("way"))
     both = both.union(both.select("qid", "dst", "src", "sim", "i", "j", F.lit(1)))

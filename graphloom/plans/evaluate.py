@@ -22,7 +22,7 @@ SENSITIVITY = ((1.0, 0.01, 0.2), (2.0, 0.01, 0.2), (3.0, 0.01, 0.2), (2.0, 0.005
 
 def build(passages: DataFrame, cfg: RetrievalConfig = RetrievalConfig()) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of all questions, kept: several retrievers read them."""
-    nodes, edges = passage_entity_graph(extract(passages), cfg.graph, cfg.embed)
+    nodes, edges = passage_entity_graph(stored(extract(passages)), cfg.graph, cfg.embed)
     return stored(nodes), stored(edges)
 
 
@@ -66,7 +66,7 @@ def compare_methods(questions: DataFrame, passages: DataFrame, cfg: RetrievalCon
 
 def ablations(questions: DataFrame, passages: DataFrame, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
     full = build(passages, cfg)
-    extracted = extract(passages)
+    extracted = stored(extract(passages))
     uniform = replace(cfg, flow=replace(cfg.flow, query_aware=False))
     runs = {
         "full": ("flow", cfg, full),
