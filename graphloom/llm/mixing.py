@@ -114,7 +114,7 @@ def split(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
     return tree.select((F.col("node") - 2**levels).alias("shard"), "q")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, block_words: int = 1 << 16, shard_words: int = 1 << 23, seed: int = 17) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, block_words: int = 1 << 16, shard_words: int = 1 << 21, seed: int = 17) -> DataFrame:
     """docs with doc_id, text, source -> a row for each: doc_id, source, size, source_size, target, draws.
 
     draws: array of (epoch, shard, place), a member for each time the mix takes
