@@ -90,10 +90,12 @@ def posterior(votes: DataFrame, rules: int, steps: int = STEPS) -> DataFrame:
     rate = lambda c: f"array({','.join(f'{x}D' for x in c)})"
     like = lambda t: f"aggregate(sequence(0, {rules - 1}), 1D, (a, j) -> a * {t}[j][p.v[j]])"
     chance = f"transform(seen, p -> named_struct('n', p.n, 'v', p.v, 'g', s.pi * {like('s.good')} / (s.pi * {like('s.good')} + (1D - s.pi) * {like('s.bad')})))"
-    rates = lambda w, at: (
-        f"transform(sequence(0, {rules - 1}), j -> transform({rate(at)}, (r, k) -> (aggregate(e, 0D, (a, p) -> a + if(p.v[j] = k, {w}, 0D)) + ({PULL}D * aggregate(e, 0D, (a, p) -> a + {w}) + {SMOOTH}D) * r) / ({PULL + 1}D * aggregate(e, 0D, (a, p) -> a + {w}) + {SMOOTH}D)))"
+    mass = "named_struct('good', aggregate(e, 0D, (a, p) -> a + p.n * p.g), 'bad', aggregate(e, 0D, (a, p) -> a + p.n * (1D - p.g)))"
+    rates = lambda c, w, at: (
+        f"transform(sequence(0, {rules - 1}), j -> transform({rate(at)}, (r, k) -> (aggregate(e, 0D, (a, p) -> a + if(p.v[j] = k, {w}, 0D)) + ({PULL}D * m.{c} + {SMOOTH}D) * r) / ({PULL + 1}D * m.{c} + {SMOOTH}D)))"
     )
-    step = f"element_at(transform(array({chance}), e -> named_struct('pi', (aggregate(e, 0D, (a, p) -> a + p.n * p.g) + {SMOOTH}D) / (aggregate(e, 0D, (a, p) -> a + p.n) + {2 * SMOOTH}D), 'good', {rates('p.n * p.g', START_GOOD)}, 'bad', {rates('p.n * (1D - p.g)', START_BAD)})), 1)"
+    fit = f"named_struct('pi', (m.good + {SMOOTH}D) / (m.good + m.bad + {2 * SMOOTH}D), 'good', {rates('good', 'p.n * p.g', START_GOOD)}, 'bad', {rates('bad', 'p.n * (1D - p.g)', START_BAD)})"
+    step = f"element_at(transform(array({chance}), e -> element_at(transform(array({mass}), m -> {fit}), 1)), 1)"
     start = f"named_struct('pi', {START_PRIOR}D, 'good', array_repeat({rate(START_GOOD)}, {rules}), 'bad', array_repeat({rate(START_BAD)}, {rules}))"
     fitted = one.select("seen", F.expr(f"aggregate(sequence(1, {steps}), {start}, (s, i) -> {step})").alias("s"))
     last = fitted.select(F.expr(f"transform(seen, p -> named_struct('pattern', p.pattern, 'p_good', s.pi * {like('s.good')} / (s.pi * {like('s.good')} + (1D - s.pi) * {like('s.bad')})))").alias("all"))
