@@ -27,7 +27,7 @@ RULES = (
     ("capitals", "n_capitals * 3 > word_chars", "n_capitals * 8 <= word_chars"),
 )
 #: The rules' votes before the first step: bad, abstain, good on good documents and on bad ones.
-START_GOOD, START_BAD, START_PRIOR = (0.004, 0.200, 0.796), (0.32, 0.14, 0.54), 0.8
+START_GOOD, START_BAD, START_PRIOR = (0.001, 0.200, 0.799), (0.32, 0.14, 0.54), 0.8
 #: Each class's rates lean on those above with PULL times the weight of the class itself: junk of one
 #: kind trips one rule and passes the others, so that votes alone would let a single kind of junk be "bad".
 STEPS, SMOOTH, PULL = 30, 1.0, 16.0
