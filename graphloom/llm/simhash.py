@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import partitions, stored, table, texts
 from .components import components
+from .shingles import near_groups
 
 FULL = (1 << 64) - 1
 SHINGLE, RADIUS, MOST = 3, 2, 2048
@@ -206,54 +207,6 @@ def groups(prints: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFra
     return prints.join(named.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-#: The stage on five-word shingles: 256 bits, of which texts of similarity 0.8 (cosine 0.89) differ in 39 +- 6.
-WIDE_SHINGLE, WIDE_LIMIT = 5, 48
-
-
-def wide_prints(docs: DataFrame, k: int = WIDE_SHINGLE) -> DataFrame:
-    """docs with doc_id, text -> doc_id, fp (four longs), n (words)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [wide(t, k) for t in texts(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in found], pa.list_(pa.int64())), pa.array([n for _, n in found], pa.int64())], ["doc_id", "fp", "n"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp array<long>, n long")
-
-
-def wide(text: str, k: int) -> tuple[list[int], int]:
-    """256 majority bits over the distinct k-word shingles, and the number of words. Without words: bits of the text itself."""
-    ws = text.encode().lower().split()
-    if not ws:
-        return np.frombuffer(xxhash.xxh3_128_digest(b"") * 2, np.int64).tolist(), 0
-    joined, width = b" ".join(ws), min(k, len(ws))
-    ends = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n, digest = len(ws) - width + 1, xxhash.xxh3_128_digest
-    shingles = {joined[a:b] for a, b in zip(starts[:n].tolist(), ends[width - 1 :].tolist(), strict=True)}
-    cells = np.frombuffer(b"".join([digest(x) for x in shingles]), np.uint64).reshape(-1, 2)
-    twist = cells * np.uint64(0x9E3779B97F4A7C15)
-    cells = np.ascontiguousarray(np.concatenate((cells, twist ^ (twist >> np.uint64(29))), axis=1)).view(np.uint8)
-    if len(cells) < 256:
-        counts = np.unpackbits(cells, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    else:
-        counts = np.concatenate([np.bincount(cells[:, byte], minlength=256) @ _BITS for byte in range(32)])
-    return np.packbits(2 * counts > len(cells), bitorder="little").view(np.int64).tolist(), len(ws)
-
-
-def near_groups(docs: DataFrame, k: int = WIDE_SHINGLE, limit: int = WIDE_LIMIT, most: int = MOST) -> DataFrame:
-    """docs with doc_id, text -> doc_id, component_id over links of about 0.8 similarity and more on k-word shingles.
-
-    Equal fingerprints are one node. Texts without words are equal to each other only.
-    """
-    prints = stored(wide_prints(docs, k))
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", "least", F.xxhash64("fp").alias("node")))
-    roots = components(links(nodes.select("node", "fp"), 4, RADIUS, limit, most))
-    named = nodes.join(roots, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(named.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "component_id")
-
-
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is their near-duplicate group's smallest, with docs' own columns."""
     first = near_groups(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
