@@ -1,6 +1,7 @@
 """The pipeline's near-duplicate stage against exact Jaccard components of five-word shingles."""
 
 import numpy as np
+import pytest
 
 from graphloom.llm import simhash
 
@@ -51,6 +52,15 @@ def graded(rng, families=60, words=200):
     return list(enumerate(out))
 
 
+def family(rng, n=150, words=120):
+    """One large family that shares most of its text, most pairs below 0.8 and some above."""
+    base, out = [f"v{x}" for x in rng.integers(0, 5000, words)], []
+    for _ in range(n // 2):
+        own = changed(rng, base, int(rng.integers(2, 8)))
+        out += [" ".join(own), " ".join(changed(rng, own, int(rng.integers(1, 5))))]
+    return list(enumerate(out))
+
+
 def grouped(spark, rows, **knobs):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     return {r.doc_id: r.component_id for r in simhash.near_groups(docs, **knobs).collect()}
@@ -62,3 +72,11 @@ def test_only_texts_at_four_fifths_are_linked(spark):
     got = grouped(spark, rows)
     assert {i: c for i, c in got.items() if c != i and expected[i] == i} == {}  # dropped without a link
     assert 0 < len(set(expected.values())) < len(rows)
+
+
+@pytest.mark.parametrize("knobs", [{}, {"small": 2, "block": 16}])
+def test_crowded_buckets_lose_no_pair(spark, knobs):
+    rows = family(np.random.default_rng(12))
+    expected = exact_groups(rows)
+    assert grouped(spark, rows, **knobs) == expected
+    assert 10 < len(set(expected.values())) < len(rows) - 10
