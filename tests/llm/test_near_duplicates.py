@@ -80,3 +80,15 @@ def test_crowded_buckets_lose_no_pair(spark, knobs):
     expected = exact_groups(rows)
     assert grouped(spark, rows, **knobs) == expected
     assert 10 < len(set(expected.values())) < len(rows) - 10
+
+
+def test_every_pair_at_four_fifths_is_found(spark, awkward):
+    rng = np.random.default_rng(13)
+    rows = graded(rng)
+    for f in range(150):  # 200 words, four or five changed: just above and below 0.8
+        base = [f"v{x}" for x in rng.integers(0, 5000, 200)]
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(changed(rng, base, 4 + f % 2)))]
+    rows += [(len(rows), ""), (len(rows) + 1, " \t\n"), (len(rows) + 2, "one two"), (len(rows) + 3, "ONE\ttwo"), (len(rows) + 4, "one")]
+    assert grouped(spark, rows) == exact_groups(rows)
+    texts = [(r.doc_id, r.text or "") for r in awkward.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text").collect()]
+    assert grouped(spark, texts) == exact_groups(texts)
