@@ -5,7 +5,9 @@ sets are one node from the start. Under any one order of all shingles, two sets
 similarity 4/5 or more share one of their first n - ceil(4n/5) + 1 members, so buckets by
 those members hold every such pair. The order is by hash, with shingles that a sample of
 the documents shows to be common last (rarer ones first): the sample decides what a run
-costs, never what it finds. Every candidate is verified on the whole sets.
+costs, never what it finds. A set's bitmap has a bit for each value of ten bits of its members' hashes: bits
+that one set has and the other lacks are as many members at least that aren't shared, which
+rules most candidates out for certain. The others are verified on the whole sets.
 
 A large bucket first compares all its nodes to its least one. Where that leaves it in more
 than one component, all its pairs across components are compared, block by block, so that
@@ -62,17 +64,20 @@ def common(docs: DataFrame, k: int = SHINGLE) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, late: np.ndarray, k: int = SHINGLE) -> DataFrame:
-    """docs with doc_id, text -> doc_id, node (hash of the set), n (its size), prefix (its first members, `late` ones last)."""
+    """docs with doc_id, text -> doc_id, node (hash of the set), n (its size), prefix (its first members, `late` ones last), bits."""
     rank = np.argsort(late)
     known, rank = late[rank], rank
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, sizes, firsts = [], [], []
+            nodes, sizes, firsts, bits = [], [], [], []
             for t in texts(b.column(1)):
                 found = shingles(t, k)
                 nodes.append(_node(found))
                 sizes.append(len(found))
+                seen = np.zeros(1024, bool)
+                seen[(found & np.uint64(1023)).astype(np.int64)] = True
+                bits.append(np.packbits(seen).tobytes())
                 length = len(found) - (4 * len(found) + 4) // 5 + 1 if len(found) else 0
                 if len(known):
                     at = np.minimum(np.searchsorted(known, found), len(known) - 1)
@@ -81,9 +86,9 @@ def prefixes(docs: DataFrame, late: np.ndarray, k: int = SHINGLE) -> DataFrame:
                 firsts.append(found[:length].view(np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in firsts]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *firsts])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists], ["doc_id", "node", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists, pa.array(bits, pa.binary())], ["doc_id", "node", "n", "prefix", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n long, prefix array<long>, bits binary")
 
 
 def possible(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -164,6 +169,22 @@ def _across(rows: pa.Table) -> pa.Table:
     return pa.table({k: np.concatenate(v) for k, v in {"a": a, "b": b, "rest": rest, "total": total}.items()})
 
 
+def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that their bitmaps don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, m = np.asarray(batch.column("na")), np.asarray(batch.column("nb"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, 16) for c in ("xa", "xb"))
+            most = np.minimum(n - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+            yield batch.select(["a", "b"]).filter(pa.array(9 * most >= 4 * (n + m)))
+
+    one, two = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}")) for c in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets have a similarity of 4/5 or more."""
 
@@ -186,12 +207,12 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, small: int = SMALL, block: in
     Texts without words are equal to each other only.
     """
     prints = stored(prefixes(docs, common(docs, k), k))
-    nodes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    nodes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")))
     rows = nodes.select("node", "n", F.posexplode("prefix").alias("i", "h")).select("h", "node", "n", F.col("i").cast("long").alias("i"))
     dealt = rows.repartition(partitions(docs), "h").sortWithinPartitions("h", "node")
     got = stored(dealt.mapInArrow(_candidates(small), "h long, node long, n long, i long"))
-    first = stored(got.where("i < 0").select(F.col("h").alias("a"), F.col("node").alias("b")).distinct())
-    found = _verified(first, docs, nodes, k)
+    first = got.where("i < 0").select(F.col("h").alias("a"), F.col("node").alias("b")).distinct()
+    found = _verified(stored(_bounded(first, nodes)), docs, nodes, k)
     roots = components(found)
     crowded = got.where("i >= 0").join(roots, "node", "left").select("h", "node", "n", "i", F.coalesce("root", "node").alias("root"))
     mixed = crowded.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s")
@@ -201,7 +222,8 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, small: int = SMALL, block: in
     # A pair not in `first` shares no prefix member but those counted here, and after the last of them `rest` members at most.
     shared = spread.groupBy("h", "lo", "hi").applyInArrow(_across, "a long, b long, rest long, total long")
     shared = shared.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min("rest").alias("rest"), F.first("total").alias("total"))
-    more = stored(shared.where("9 * (c + rest) >= 4 * total").select("a", "b").join(first, ["a", "b"], "left_anti"))
+    more = shared.where("9 * (c + rest) >= 4 * total").select("a", "b").join(first, ["a", "b"], "left_anti")
+    more = stored(_bounded(more, nodes))
     if not more.isEmpty():
         found = found.union(_verified(more, docs, nodes, k))
         roots = components(found)
