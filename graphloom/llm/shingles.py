@@ -5,9 +5,9 @@ sets are one node from the start. Under any one order of all shingles, two sets
 similarity 4/5 or more share one of their first n - ceil(4n/5) + 1 members, so buckets by
 those members hold every such pair. The order is by hash, with shingles that a sample of
 the documents shows to be common last (rarer ones first): the sample decides what a run
-costs, never what it finds. A set's bitmap has a bit for each value of ten bits of its members' hashes: bits
-that one set has and the other lacks are as many members at least that aren't shared, which
-rules most candidates out for certain. The others are verified on the whole sets.
+costs, never what it finds. A set's bitmap has a bit for each value of the last bits of its members' hashes, at least as
+many bits as members: bits that one set has and the other lacks are as many members at least
+that aren't shared, which rules most candidates out for certain. The others are verified on the whole sets.
 
 A large bucket first compares all its nodes to its least one. Where that leaves it in more
 than one component, all its pairs across components are compared, block by block, so that
@@ -75,8 +75,8 @@ def prefixes(docs: DataFrame, late: np.ndarray, k: int = SHINGLE) -> DataFrame:
                 found = shingles(t, k)
                 nodes.append(_node(found))
                 sizes.append(len(found))
-                seen = np.zeros(1024, bool)
-                seen[(found & np.uint64(1023)).astype(np.int64)] = True
+                seen = np.zeros(max(1024, 1 << max(0, len(found) - 1).bit_length()), bool)
+                seen[(found & np.uint64(len(seen) - 1)).astype(np.int64)] = True
                 bits.append(np.packbits(seen).tobytes())
                 length = len(found) - (4 * len(found) + 4) // 5 + 1 if len(found) else 0
                 if len(known):
@@ -177,8 +177,12 @@ def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             n, m = np.asarray(batch.column("na")), np.asarray(batch.column("nb"))
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, 16) for c in ("xa", "xb"))
-            most = np.minimum(n - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+            xa, xb = (batch.column(c).to_pylist() for c in ("xa", "xb"))
+            sizes, most = np.array([(len(x), len(y)) for x, y in zip(xa, xb, strict=True)]) // 8, np.zeros(len(n), np.int64)
+            for size in np.unique(sizes, axis=0):  # the larger bitmaps are folded to the size of the smaller
+                at = np.flatnonzero((sizes == size).all(1))
+                x, y = (np.bitwise_or.reduce(np.frombuffer(b"".join(z[i] for i in at), np.uint64).reshape(len(at), -1, size.min()), axis=1) for z in (xa, xb))
+                most[at] = np.minimum(n[at] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), m[at] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
             yield batch.select(["a", "b"]).filter(pa.array(9 * most >= 4 * (n + m)))
 
     one, two = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}")) for c in "ab")
