@@ -21,12 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; on a session that names none (tests on one machine), a temporary one."""
+    """The folder that all executors share: `spark.checkpoint.dir`. Only a session within one process (tests) may leave it unset."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and sc.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return named or os.path.join(tempfile.gettempdir(), "graphloom-checkpoints")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared storage."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the cluster's shared checkpoint folder.
 

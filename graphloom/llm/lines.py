@@ -1,16 +1,16 @@
 """Line dedup with two Bloom filters, for once-seen and twice-seen line hashes.
 
-1. Each task sets the bits of its documents' line keys in a once filter and, where they
-   were set before, in a twice filter. The tasks' filters merge by segment: a bit set in
-   two once filters goes to the twice filter. So a key of two documents always has its
-   bits in the twice filter; a key of one has them by accident only.
-2. Only (digest, doc_id) of keys that the twice filter suspects shuffle. Counting exact
-   128-bit digests settles which keys enough documents hold and which document keeps them.
-3. What each document loses goes to it by its doc_id.
-
-The filters have ten bits for each line, up to `most_bits`; that bound is what is
-broadcast (64 MB). A corpus that needs more isn't filtered: every line is then a
-suspect and step 2 alone decides, by the same rows in the end.
+1. The 128-bit digests of each document's line keys are written once, dealt by hash into as
+   many parts as keep ten filter bits for each line within `most_bits` a part.
+2. Part by part: each task sends the filter bits of its own keys, a segment of the filter at a
+   time. A bit that is set once goes to the once filter, and to the twice filter if it is set
+   again, in this task or another. So a key of two documents always has its bits in the twice
+   filter; a key of one has them by accident only. Only that filter is broadcast (64 MB at most).
+3. Only digests that the twice filter suspects shuffle. Counting exact 128-bit digests
+   settles which keys enough documents hold and which document keeps them.
+4. What each text loses goes to it by its doc_id and its hash.
+
+The filters work alike at every size: more lines make more parts, never a larger or no filter.
 
 Defined results: a null or empty text is one empty line; a null doc_id counts for no
 key and loses its copies; rows of an equal doc_id are one document to the counts and
@@ -19,20 +19,21 @@ each loses the lines on its own; whole texts are read, whatever their length.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, table, texts
+from .common import delete, shared_folder, stored, table, texts
 
-MIN_CHARS, MIN_DOCS, MOST_BITS, SEGMENT, SALTS = 20, 3, 1 << 29, 1 << 16, 16
+MIN_CHARS, MIN_DOCS, SALTS = 20, 3, 16
+PER_LINE, MOST_BITS, SEGMENT, MOST_PARTS = 10, 1 << 29, 1 << 19, 1 << 15  # bits; parts are told by 15 bits of the digest
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -48,78 +49,101 @@ def digests(text: str, min_chars: int) -> set[bytes]:
     return {xxhash.xxh3_128_digest(k) for k in keys if k is not None}
 
 
-def _bits(found: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two bit numbers of each digest (n, 2)."""
-    return (found[:, 0] & np.uint64(bits - 1)).astype(np.int64), (found[:, 1] & np.uint64(bits - 1)).astype(np.int64)
+DIGESTS = "doc_id long, th long, hi long, lo long"
 
 
-def _table(found: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(found), np.uint64).reshape(-1, 2)
+def _cells(found: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
 
 
-def twice_seen(docs: DataFrame, min_chars: int, bits: int) -> bytes:
-    """The merged twice filter, of bits / 8 bytes."""
+def line_digests(docs: DataFrame, min_chars: int, parts: int) -> DataFrame:
+    """(doc_id, th, hi, lo, part): each text's distinct line digests. th: the text's hash; part: which of `parts` by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [sorted(digests(t, min_chars)) for t in texts(b.column(2))]
+            rows = pa.array(np.repeat(np.arange(b.num_rows), [len(x) for x in found]))
+            cells = _cells([d for x in found for d in x])
+            part = cells[:, 0] >> 48 & (parts - 1)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(cells[:, 0]), pa.array(cells[:, 1]), pa.array(part.astype(np.int32))], ["doc_id", "th", "hi", "lo", "part"])
+
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, f"{DIGESTS}, part int")
+
+
+def _bits(batch: pa.RecordBatch, bits: int) -> list[np.ndarray]:
+    """The two filter bits of each digest."""
+    return [np.asarray(batch.column(c)) & (bits - 1) for c in ("hi", "lo")]
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
 
-        def add(found: np.ndarray) -> None:
-            for at in _bits(found, bits):
-                at, n = np.unique(at, return_counts=True)
-                byte, bit = at >> 3, np.left_shift(np.uint8(1), (at & 7).astype(np.uint8))
-                again = (once[byte] & bit).astype(bool) | (n > 1)
-                np.bitwise_or.at(twice, byte[again], bit[again])
-                np.bitwise_or.at(once, byte, bit)
+def twice_seen(found: DataFrame, bits: int) -> bytes:
+    """The twice filter of the digests, of bits / 8 bytes."""
+    segment = min(bits, SEGMENT)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            """The bits of the keys held; one that several of them set is sent twice."""
+            at, n = np.unique(np.concatenate(held), return_counts=True)
+            at = np.repeat(at, np.minimum(n, 2))
+            first = np.flatnonzero(np.concatenate(([True], at[1:] // segment != at[:-1] // segment)))
+            body = [zlib.compress(np.diff(x, prepend=0).astype(np.uint32).tobytes(), 1) for x in np.split(at % segment, first[1:])]
+            return pa.RecordBatch.from_arrays([pa.array((at[first] // segment).astype(np.int32)), pa.array(body, pa.binary())], ["segment", "body"])
 
-        held: list[bytes] = []
         for b in batches:
-            for t in texts(b.column(0)):
-                held += digests(t, min_chars)
-                if len(held) > 200_000:
-                    add(_table(held))
-                    held = []
-        add(_table(held))
-        for i in range(0, bits // 8, SEGMENT):
-            if once[i : i + SEGMENT].any():
-                o, t = zlib.compress(once[i : i + SEGMENT].tobytes(), 1), zlib.compress(twice[i : i + SEGMENT].tobytes(), 1)
-                yield pa.RecordBatch.from_arrays([pa.array([i // SEGMENT], pa.int32()), pa.array([o], pa.binary()), pa.array([t], pa.binary())], ["segment", "once", "twice"])
-
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        once, twice = None, None
-        for o, t in zip(rows["once"], rows["twice"], strict=True):
-            o, t = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (o, t))
-            once, twice = (o, t) if once is None else (once | o, twice | t | (once & o))
-        return pd.DataFrame({"segment": rows["segment"].iloc[:1], "twice": [zlib.compress(twice.tobytes(), 1)]})
-
-    merged = docs.select("text").mapInArrow(fill, "segment int, once binary, twice binary").groupBy("segment").applyInPandas(merge, "segment int, twice binary")
-    filled = bytearray(bits // 8)
-    for segment, twice in merged.collect():  # bits / 8 bytes at most
-        part = zlib.decompress(twice)
-        filled[segment * SEGMENT : segment * SEGMENT + len(part)] = part
+            held += _bits(b, bits)
+            if sum(map(len, held)) > 2_000_000:
+                yield out()
+                held.clear()
+        if sum(map(len, held)):
+            yield out()
+
+    def merge(rows: pa.Table) -> pa.Table:
+        seen = np.zeros(segment, np.uint8)
+        for x in rows["body"].to_pylist():
+            at, n = np.unique(np.cumsum(np.frombuffer(zlib.decompress(x), np.uint32)), return_counts=True)
+            seen[at] = np.minimum(seen[at] + n, 2)
+        return pa.table({"segment": rows["segment"].slice(0, 1), "twice": pa.array([zlib.compress(np.packbits(seen == 2, bitorder="little").tobytes(), 1)], pa.binary())})
+
+    merged = found.select("hi", "lo").mapInArrow(send, "segment int, body binary").groupBy("segment").applyInArrow(merge, "segment int, twice binary")
+    filled = bytearray(max(1, bits // 8))
+    for number, twice in merged.collect():  # bits / 8 bytes at most
+        part, at = zlib.decompress(twice), number * segment // 8
+        filled[at : at + len(part)] = part
     return bytes(filled)
 
 
-def suspects(docs: DataFrame, min_chars: int, most_bits: int) -> DataFrame:
-    """(doc_id, hi, lo): each document's line digests that the filter can't rule out."""
-    lines = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0
-    bits = max(8 * SEGMENT, 1 << (10 * lines).bit_length())
-    spread = docs.sparkSession.sparkContext.broadcast(twice_seen(docs, min_chars, bits)) if bits <= most_bits else None
+def suspected(found: DataFrame, bits: int) -> DataFrame:
+    """The digests whose bits the twice filter has, stored."""
+    spread = found.sparkSession.sparkContext.broadcast(twice_seen(found, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = None if spread is None else np.frombuffer(spread.value, np.uint8)
+        seen = np.frombuffer(spread.value, np.uint8)
         for b in batches:
-            found = [sorted(digests(t, min_chars)) for t in texts(b.column(1))]
-            rows = np.repeat(np.arange(b.num_rows), [len(x) for x in found])
-            cells = _table([d for x in found for d in x])
-            if seen is not None:
-                hit = np.ones(len(cells), bool)
-                for at in _bits(cells, bits):
-                    hit &= (seen[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-                rows, cells = rows[hit], cells[hit]
-            signed = np.ascontiguousarray(cells).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(signed[:, 0]), pa.array(signed[:, 1])], ["doc_id", "hi", "lo"])
+            hit = np.ones(b.num_rows, bool)
+            for at in _bits(b, bits):
+                hit &= (seen[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            yield b.filter(pa.array(hit))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, hi long, lo long")
+    out = stored(found.select("doc_id", "th", "hi", "lo").mapInArrow(run, DIGESTS))
+    spread.destroy()
+    return out
+
+
+def suspects(docs: DataFrame, min_chars: int, most_bits: int = MOST_BITS) -> DataFrame:
+    """(doc_id, th, hi, lo): each text's line digests that the filters can't rule out, stored."""
+    spark = docs.sparkSession
+    lines = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0
+    need = 1 << (PER_LINE * lines).bit_length()
+    parts = min(max(1, need // most_bits), MOST_PARTS)
+    folder = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    line_digests(docs, min_chars, parts).write.partitionBy("part").parquet(folder)
+    every, found = spark.read.schema(f"{DIGESTS}, part int").parquet(folder), None
+    for part in range(parts):
+        one = suspected(every.where(F.col("part") == part), max(8, need // parts))
+        found = one if found is None else found.union(one)
+    delete(spark, folder)
+    return found
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, most_bits: int = MOST_BITS) -> DataFrame:
@@ -128,14 +152,14 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     A key of min_chars code points or more that min_docs documents hold loses its
     lines in all of them but the largest doc_id.
     """
-    found = stored(suspects(docs, min_chars, most_bits))
+    found = suspects(docs, min_chars, most_bits)
     shared = found.groupBy("hi", "lo").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).drop("n")
     # A very common line has a row in a third of all documents: each key is joined in SALTS parts.
-    salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "th"), F.lit(SALTS)).cast("int"))
     shared = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    lost = salted.join(shared, ["hi", "lo", "salt"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo")).alias("lost"))
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
-    both = row.join(lost.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("row", "text", "lost")
+    lost = salted.join(shared, ["hi", "lo", "salt"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set(F.struct("hi", "lo")).alias("lost"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", F.xxhash64("text").alias("th"))
+    both = row.join(lost, (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("row", "text", "lost")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

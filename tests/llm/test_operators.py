@@ -89,8 +89,9 @@ def test_quality_verdicts_on_labelled_junk(spark):
     assert all(got[i] for i in range(60)) and not any(got[i] for i in range(60, 70))
 
 
-@pytest.mark.parametrize("bits", [lines.MOST_BITS, 8])
+@pytest.mark.parametrize("bits", [lines.MOST_BITS, 64])
 def test_lines(awkward, nothing, bits):
+    """With one part, and with more lines than a part's filters hold."""
     held = defaultdict(set)
     norm = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\x0c\r"))
     docs = rows_of(awkward)
@@ -109,6 +110,25 @@ def test_lines(awkward, nothing, bits):
     assert lines.without_repeated_lines(awkward).columns == awkward.columns
 
 
+def test_lines_are_filtered_at_every_size(spark):
+    """However small the filters, only repeats (and a few others by accident) shuffle, and none is lost."""
+    rows = [(i, "\n".join([f"this line is only found in text {i} as line {k}" for k in range(40)] + [f"a passage that some texts share, number {i % 50}"])) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for bits in (lines.MOST_BITS, 1 << 15):  # 8200 lines: one part, and four
+        found = lines.suspects(docs, 20, bits)
+        shared = {xxhash.xxh3_128_digest(f"a passage that some texts share, number {i}".encode()) for i in range(50)}
+        got = [np.array([r.hi, r.lo], np.int64).tobytes() for r in found.collect()]
+        assert len([d for d in got if d in shared]) == 200
+        assert len(got) < 200 + 800  # of 8000 lines that occur once
+
+
+def test_lines_of_rows_that_share_a_doc_id(spark):
+    line = "the very same line in many rows of one id"
+    rows = [(None, f"{line}\nown {i}") for i in range(50)] + [(1, line), (2, line + "\nx"), (3, line), (3, "y\n" + line)]
+    got = lines.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "n_dropped", "kept").collect()
+    assert Counter(map(tuple, got)) == Counter([(None, 1, f"own {i}") for i in range(50)] + [(1, 1, ""), (2, 1, "x"), (3, 0, line), (3, 0, "y\n" + line)])
+
+
 def test_packing(awkward, nothing):
     from tokenizers import Tokenizer
 
