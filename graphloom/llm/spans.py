@@ -10,16 +10,16 @@ a run of windows whose anchor is at one place.
    sends an anchor's digest once, and the segments of an anchor that already differ in
    that task skip the anchor (a mark goes in their place), so that an anchor gets a few
    rows from each task at most, however common its text is.
-2. First segments of anchors with several digests are looked at window by window. Short
-   windows (bytes): the segments' text goes to its anchor, where a block of anchors at a
-   time finds its equal windows; an anchor with more text than a block is passed on by
-   windows. Long ones (words): a block of documents finds its equal windows and passes on
-   each once. What is passed on meets at 128-bit digests of windows.
-3. Each document gets its repeats by its id and loses what they cover. The join reads the
+2. First segments of anchors with several digests are looked at window by window: their text
+   goes to its anchor, where a block of whole anchors at a time finds its equal windows. An
+   anchor with more than CROWD segments, or more text than a block, is dealt over several
+   blocks; the windows that such a block can't settle meet at their 128-bit digests.
+3. Each text gets its repeats by its key and loses what they cover. The join reads the
    same dealt documents as step 2's: the texts shuffle once.
 
-Ranges are packed in a long: 24 bits of the text's hash (which tells rows of an equal
-doc_id apart), 32 of the first window, 8 of the number of windows.
+A text's key is its doc_id and 64 bits of its hash: rows of an equal (or null) doc_id are told
+apart by their texts, and rows that are equal in both share one key and one result.
+Ranges are packed in a long: 32 bits of the first window, 8 of the number of windows.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ from .common import partitions, pieces, stored, texts, utf8
 
 RUN = 128  # windows of a segment at most
 HELD = 400_000  # segments that a task settles at once
+CROWD = 1024  # segments of an anchor in one block
+BLOCK = 1 << 21  # bytes of text whose windows are settled together
 _U = np.uint64
 _rng = np.random.default_rng(20240607)
 BYTE_CODES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -144,21 +146,21 @@ def segments(u: Units, length: int, gram: int) -> tuple[np.ndarray, np.ndarray,
     return grams[anchor], hashes(sums, first, first + size + length - 1), first, size
 
 
-def pack(tag: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    return tag << 40 | first << 8 | size - 1
+def pack(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return first << 8 | size - 1
 
 
 def unpack(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x >> 8 & 0xFFFFFFFF, (x & 0xFF) + 1
 
 
-def _batch(kind, r, s, doc, place) -> pa.RecordBatch:
-    columns = [pa.array(np.asarray(kind, np.int8))] + [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (r, s, doc, place)]
-    return pa.RecordBatch.from_arrays(columns, ["kind", "r", "s", "doc", "place"])
+NAMES = ["kind", "r", "s", "doc", "tag", "place"]
+ROWS = "kind byte, r long, s long, doc long, tag long, place long"
+OPEN, SURE, LOOK, MARK = 0, 1, 2, 3  # to be settled; repeats for sure; to be looked at by window; "this anchor has several digests"
 
 
-ROWS = "kind byte, r long, s long, doc long, place long"
-OPEN, SURE, LOOK, MARK = 0, 1, 2, 3  # to be settled; repeats for sure; to be looked at by window; "this anchor has several digests"
+def _batch(kind, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(kind, np.int8))] + [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in columns], NAMES)
 
 
 def _first_of(*keys: np.ndarray) -> np.ndarray:
@@ -169,14 +171,25 @@ def _first_of(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def _apart(place: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Where rows go that no group waits for."""
+    return spread_bits(place.view(_U) * _U(31) + doc.view(_U))
+
+
 @dataclass(frozen=True)
 class Rule:
-    """length and gram in units. same_doc: whether an earlier window of the same document counts."""
+    """length and gram in units. same_doc: whether an earlier window of the same document counts.
+
+    solve(rule, bodies, doc, first, n) settles a block: bodies hold n windows each, from a
+    document's window `first` on. It gives row, window within it and whether it repeats, for all
+    windows, and a function that names the windows of given numbers by 128 bits.
+    """
 
     length: int
     gram: int
     words: bool
     same_doc: bool
+    solve: Callable
 
     def units(self, data: np.ndarray, offsets: np.ndarray) -> Units:
         return word_units(data, offsets) if self.words else byte_units(data, offsets)
@@ -186,30 +199,27 @@ class Rule:
         return (doc > doc[first]) | (self.same_doc & (doc == doc[first]) & (place > place[first]))
 
 
-def _order(rule: Rule, *keys: np.ndarray) -> np.ndarray:
-    return np.lexsort(keys[::-1])
-
-
 def _send(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def settle() -> Iterator[pa.RecordBatch]:
-            a, s, doc, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            a, s, doc, tag, place = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            order = np.lexsort((place, doc, s, a))
-            a, s, doc, place = a[order], s[order], doc[order], place[order]
+            order = np.lexsort((tag, place, doc, s, a))
+            order = order[_first_of(*(x[order] for x in (a, s, doc, tag, place)))]  # equal rows of one key
+            a, s, doc, tag, place = (x[order] for x in (a, s, doc, tag, place))
             new_a, new = _first_of(a), _first_of(a, s)
             first = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
             again = rule.repeats(doc, place, first)
             group = np.cumsum(new_a) - 1
             mixed = (np.bincount(group, weights=new) > 1)[group]
             kind = np.where(again, SURE, np.where(mixed, LOOK, OPEN))
-            r = np.where(kind == OPEN, a, spread_bits(place.view(_U) * _U(31) + doc.view(_U)))
-            yield _batch(kind, r, s, doc, place)
+            waits = kind == OPEN
+            yield _batch(kind, np.where(waits, a, _apart(place, doc)), np.where(waits, s, a), doc, tag, place)  # the others keep their anchor as s
             marks = new_a & mixed
             if marks.any():
-                yield _batch(np.full(marks.sum(), MARK), a[marks], s[marks], doc[marks], place[marks])
+                yield _batch(np.full(marks.sum(), MARK), a[marks], s[marks], doc[marks], tag[marks], place[marks])
 
         n = 0
         for b in batches:
@@ -220,7 +230,7 @@ def _send(rule: Rule):
                 if not len(a):
                     continue
                 text = np.searchsorted(u.bounds, first, side="right") - 1
-                held.append((a, s, np.asarray(part.column(0))[text], pack(np.asarray(part.column(1))[text], first - u.bounds[text], size)))
+                held.append((a, s, np.asarray(part.column(0))[text], np.asarray(part.column(1))[text], pack(first - u.bounds[text], size)))
                 n += len(a)
                 if n > HELD:
                     yield from settle()
@@ -231,251 +241,179 @@ def _send(rule: Rule):
     return run
 
 
+MET = "kind byte, r long, doc long, tag long, place long"
+
+
 def _meet(rule: Rule, windows: bool):
-    """Sorted by r, s, doc, place: settles each anchor (or each window digest). Groups that cross a batch are carried over."""
+    """Sorted by r, s, doc, place: settles each anchor (or each window digest). What is to be looked at leaves with its anchor as r."""
 
-    def settle(kind, r, s, doc, place) -> pa.RecordBatch | None:
+    def settle(rows: list[tuple]) -> pa.RecordBatch | None:
+        kind, r, s, doc, tag, place = (np.concatenate(x) for x in zip(*rows, strict=True))
         through = (kind == SURE) | (kind == LOOK)
-        out = [(kind[through], r[through], doc[through], place[through])]
-        rest = ~through
-        kind, r, s, doc, place = kind[rest], r[rest], s[rest], doc[rest], place[rest]
+        out = [tuple(x[through] for x in (kind, s, doc, tag, place))]
+        rest = np.flatnonzero(~through)
+        rest = rest[_first_of(*(x[rest] for x in (kind, r, s, doc, tag, place)))]  # equal rows of one key
+        kind, r, s, doc, tag, place = (x[rest] for x in (kind, r, s, doc, tag, place))
         if len(r):
             real = kind == OPEN
             group = np.cumsum(_first_of(r)) - 1
             marked = np.bincount(group, weights=~real) > 0
-            kind, r, s, doc, place, group = (x[real] for x in (kind, r, s, doc, place, group))
+            r, s, doc, tag, place, group = (x[real] for x in (r, s, doc, tag, place, group))
             if len(r):
                 new = _first_of(r, s)
                 first = np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))
                 again = rule.repeats(doc, place, first)
                 mixed = (marked | (np.bincount(group, weights=new, minlength=len(marked)) > 1))[group]
-                out.append((np.full(again.sum(), SURE), r[again], doc[again], place[again]))
+                out.append((np.full(again.sum(), SURE), *(x[again] for x in (r, doc, tag, place))))
                 look = ~again & mixed & (not windows)
-                out.append((np.full(look.sum(), LOOK), r[look], doc[look], place[look]))
-        kind, r, doc, place = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int8)), pa.array(r), pa.array(doc), pa.array(place)], ["kind", "r", "doc", "place"]) if len(kind) else None
+                out.append((np.full(look.sum(), LOOK), *(x[look] for x in (r, doc, tag, place))))
+        kind, *columns = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int8)), *map(pa.array, columns)], ["kind", "r", "doc", "tag", "place"]) if len(kind) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[tuple] = []  # the rows of one r
         for b in batches:
             now = tuple(np.asarray(c) for c in b.columns)
-            now = now if held is None else tuple(np.concatenate(x) for x in zip(held, now, strict=True))
             if not len(now[0]):
                 continue
             cut = int(np.searchsorted(now[1], now[1][-1]))
-            held = tuple(x[cut:] for x in now)
-            if cut and (out := settle(*(x[:cut] for x in now))):
-                yield out
-        if held is not None and (out := settle(*held)):
+            if cut or held and held[0][1][0] != now[1][0]:
+                if out := settle([*held, *([tuple(x[:cut] for x in now)] if cut else [])]):
+                    yield out
+                held = []
+            held.append(tuple(x[cut:] for x in now))
+        if held and (out := settle(held)):
             yield out
 
     return run
 
 
-def _look(rule: Rule, classes: Callable):
-    """Blocks of documents with segments to look at -> their windows: repeats within the block, and the rest by digest."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, j in pieces(b, 2):
-                part = b.slice(i, j - i)
-                data, offsets = utf8(part.column(2))
-                docs, tags = np.asarray(part.column(0)), np.asarray(part.column(1))
-                if rule.words:
-                    first_byte, last_byte = word_places(data, offsets) if len(data) else (np.empty(0, np.int64),) * 2
-                    bounds = np.searchsorted(first_byte, offsets)
-                else:
-                    bounds = offsets
-                lists = part.column(3)
-                n = np.diff(np.asarray(lists.offsets))
-                text = np.repeat(np.arange(len(docs)), n)
-                first, size = unpack(np.asarray(lists.flatten()))
-                at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                start = np.repeat(first + bounds[text], size) + at
-                text = np.repeat(text, size)
-                order = np.lexsort((start - bounds[text], docs[text]))
-                start, text = start[order], text[order]
-                if rule.words:
-                    found, digest = classes(data, start, first_byte, last_byte, rule.length)
-                else:
-                    found, digest = classes(data, start, rule.length)
-                doc, place = docs[text], pack(tags[text], start - bounds[text], np.ones(len(start), np.int64))
-                order = np.argsort(found, kind="stable")  # document order within a class
-                new = _first_of(found[order])
-                lead = np.empty(len(order), np.int64)
-                lead[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-                again = rule.repeats(doc, place, lead)
-                rest = np.flatnonzero(~again)
-                ids = digest(rest)
-                if again.any():  # consecutive windows as one range
-                    d, p, t = doc[again], start[again], text[again]
-                    join = np.ones(len(p), bool)
-                    join[1:] = (t[1:] != t[:-1]) | (p[1:] != p[:-1] + 1) | ((np.arange(1, len(p)) % RUN) == 0)
-                    head = np.flatnonzero(join)
-                    count = np.diff(np.concatenate((head, [len(p)])))
-                    ranges = pack(tags[t[head]], p[head] - bounds[t[head]], count)
-                    yield _batch(np.full(len(head), SURE), spread_bits(ranges.view(_U) * _U(31) + d[head].view(_U)), np.zeros(len(head), np.int64), d[head], ranges)
-                if len(rest):
-                    yield _batch(np.full(len(rest), OPEN), ids[:, 0], ids[:, 1], doc[rest], place[rest])
-
-    return run
+CUT = "q long, final boolean, doc long, tag long, place long, body binary"
 
 
 def _cut(rule: Rule):
-    """Documents with segments to look at -> the segments' bytes by anchor."""
+    """Texts with segments to look at -> the segments' units as bytes, for the anchor (or the part of one) that they go to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for b in batches:
-            r, doc, place, body, held = [], [], [], [], 0
-            for d, t, ranges in zip(b.column(0).to_pylist(), texts(b.column(2)), b.column(3), strict=True):
-                raw, places = t.encode(), np.sort(np.asarray(ranges.values))
-                first, size = unpack(places)
-                data = np.frombuffer(raw, np.uint8)
-                # one gram is common to a segment's windows and least in each of them: the anchor again
-                grams = _grams(BYTE_CODES[data], rule.gram)
-                for p, i, n in zip(places.tolist(), first.tolist(), size.tolist(), strict=True):
-                    common = grams[i + n - 1 : i + rule.length - rule.gram + 1]
-                    r.append(int(common[np.argmin(common >> _U(28))].view(np.int64)))
-                    doc.append(d)
-                    place.append(p)
-                    body.append(raw[i : i + n + rule.length - 1])
-                    held += len(body[-1])
+            out: list[list] = [[] for _ in range(6)]
+            held = 0
+
+            def batch(out=out) -> pa.RecordBatch:
+                kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["q", "final", "doc", "tag", "place", "body"])
+
+            for doc, tag, t, ranges in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2)), b.column(3), strict=True):
+                if (doc, tag) == last:  # equal rows stand together: one of them speaks for all
+                    continue
+                last, body = (doc, tag), t.encode()
+                body = body.split() if rule.words else body
+                found = ranges.values
+                q, final, place = (found.field(c) for c in ("q", "final", "place"))
+                first, size = unpack(np.asarray(place))
+                for k, (i, n) in enumerate(zip(first.tolist(), size.tolist(), strict=True)):
+                    part = body[i : i + n + rule.length - 1]
+                    if len(part) < n + rule.length - 1:  # not this text's: another of the same key
+                        continue
+                    part = b" ".join(part) if rule.words else part
+                    for column, x in zip(out, (q[k].as_py(), final[k].as_py(), doc, tag, place[k].as_py(), part), strict=True):
+                        column.append(x)
+                    held += len(part)
                 if held > 1 << 22:
-                    yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(doc, pa.int64()), pa.array(place, pa.int64()), pa.array(body, pa.binary())], ["r", "doc", "place", "body"])
-                    r, doc, place, body, held = [], [], [], [], 0
-            if r:
-                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(doc, pa.int64()), pa.array(place, pa.int64()), pa.array(body, pa.binary())], ["r", "doc", "place", "body"])
+                    yield batch()
+                    held = 0
+                    for x in out:
+                        x.clear()
+            if out[0]:
+                yield batch()
 
     return run
 
 
-def _settle(rule: Rule, data: np.ndarray, start: np.ndarray, doc: np.ndarray, first: np.ndarray, tag: np.ndarray, classes: Callable, final: bool) -> Iterator[pa.RecordBatch]:
-    """Windows of one block -> its repeats as ranges, and unless they are final the others by digest.
-
-    start: where a window is in the block; first: where it is in its document.
-    """
-    order = np.lexsort((first, doc))
-    start, doc, first, tag = start[order], doc[order], first[order], tag[order]
-    found, digest = classes(data, start)
-    place = pack(tag, first, np.ones(len(start), np.int64))
-    order = np.argsort(found, kind="stable")  # document order within a class
-    lead = np.empty(len(order), np.int64)
-    lead[order] = order[np.maximum.accumulate(np.where(_first_of(found[order]), np.arange(len(order)), 0))]
-    again = rule.repeats(doc, place, lead)
-    if again.any():  # consecutive windows as one range
-        d, p, t = doc[again], first[again], tag[again]
-        new = np.ones(len(p), bool)
-        new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (p[1:] != p[:-1] + 1) | ((np.arange(1, len(p)) % RUN) == 0)
-        head = np.flatnonzero(new)
-        ranges = pack(t[head], p[head], np.diff(np.concatenate((head, [len(p)]))))
-        yield _batch(np.full(len(head), SURE), spread_bits(ranges.view(_U) * _U(31) + d[head].view(_U)), np.zeros(len(head), np.int64), d[head], ranges)
-    rest = np.flatnonzero(~again) if not final else ()
-    if len(rest):
-        ids = digest(rest)
-        yield _batch(np.full(len(rest), OPEN), ids[:, 0], ids[:, 1], doc[rest], place[rest])
-
-
-def _at_anchor(rule: Rule, classes: Callable, block: int):
-    """Segments in order of anchor -> repeats. A block holds whole anchors; the parts of one that outgrows it are not final."""
+def _at_anchor(rule: Rule, block: int):
+    """Segments in order of q -> repeats. A block holds whole anchors; the parts of one that outgrows it are not final."""
+
+    def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        final, doc, tag, place = (np.concatenate([x[i] for x in rows]) for i in range(1, 5))
+        first, n = unpack(place)
+        row, at, again, digest = rule.solve(rule, pa.concat_arrays([x[5] for x in rows]), doc, first, n)
+        d, t, p = doc[row], tag[row], first[row] + at
+        if again.any():  # consecutive windows as one range
+            gone = np.flatnonzero(again)
+            gone = gone[np.lexsort((p[gone], t[gone], d[gone]))]
+            dg, tg, pg = d[gone], t[gone], p[gone]
+            new = _first_of(dg, tg, pg - np.arange(len(pg)))
+            new |= (np.arange(len(pg)) - np.maximum.accumulate(np.where(new, np.arange(len(pg)), 0))) % RUN == 0
+            head = np.flatnonzero(new)
+            ranges = pack(pg[head], np.diff(np.concatenate((head, [len(pg)]))))
+            yield _batch(np.full(len(head), SURE), _apart(ranges, dg[head]), ranges, dg[head], tg[head], ranges)
+        rest = np.flatnonzero(~again & ~final[row])
+        if len(rest):
+            ids = digest(rest)
+            yield _batch(np.full(len(rest), OPEN), ids[:, 0], ids[:, 1], d[rest], t[rest], pack(p[rest], np.ones(len(rest), np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # (r, doc, place, body) columns
+        held: list[tuple] = []  # (q, final, doc, tag, place, body) columns
         size, large = 0, None
-
-        def flush(rows: list[tuple], final: bool) -> Iterator[pa.RecordBatch]:
-            r, doc, place = (np.concatenate([x[i] for x in rows]) for i in range(3))
-            data, offsets = utf8(pa.concat_arrays([x[3] for x in rows]))
-            first, n = unpack(place)
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            yield from _settle(rule, data, np.repeat(offsets[:-1], n) + at, np.repeat(doc, n), np.repeat(first, n) + at, np.repeat(place >> 40, n), lambda d, s: classes(d, s, rule.length), final)
-
+        of = lambda part: pc.sum(pc.binary_length(part[5])).as_py() or 0
         for b in batches:
-            r, doc, place = (np.asarray(b.column(i)) for i in range(3))
-            for i, j in pieces(b, 3, block):
-                part = (r[i:j], doc[i:j], place[i:j], b.column(3).slice(i, j - i).cast(pa.large_binary()).cast(pa.binary()))
-                held.append(part)
-                size += pc.sum(pc.binary_length(part[3])).as_py() or 0
+            q, final, doc, tag, place = (np.array(b.column(i)) for i in range(5))
+            if large is not None:
+                final &= q != large
+            for i, j in pieces(b, 5, block):
+                held.append((q[i:j], final[i:j], doc[i:j], tag[i:j], place[i:j], b.column(5).slice(i, j - i).cast(pa.large_binary()).cast(pa.binary())))
+                size += of(held[-1])
                 if size < block:
                     continue
-                last = part[0][-1]
+                last = q[j - 1]
                 if held[0][0][0] == last:  # one anchor fills the block
-                    yield from flush(held, False)
+                    for x in held:
+                        x[1][:] = False
+                    final[j:] &= q[j:] != last
+                    yield from settle(held)
                     held, size, large = [], 0, last
                     continue
-                cut = int(np.searchsorted(part[0], last))
-                tail = tuple(x[cut:] for x in part)
-                whole = [tuple(x[:cut] for x in part)] if cut else []
-                rows = held[:-1] + whole
-                k = next((k for k, x in enumerate(rows) if x[0][-1] == last), None)
-                if k is not None:  # the anchor began in an earlier part
-                    c = int(np.searchsorted(rows[k][0], last))
-                    carry = [tuple(x[c:] for x in rows[k]), *rows[k + 1 :], tail]
-                    rows = rows[:k] + ([tuple(x[:c] for x in rows[k])] if c else [])
-                else:
-                    carry = [tail]
-                yield from split(rows, flush, large)
-                held, size, large = carry, sum(pc.sum(pc.binary_length(x[3])).as_py() or 0 for x in carry), None
+                cuts = [int(np.count_nonzero(x[0] != last)) for x in held]  # the last anchor's rows stand at the end
+                yield from settle([tuple(y[:c] for y in x) for x, c in zip(held, cuts, strict=True) if c])
+                held = [tuple(y[c:] for y in x) for x, c in zip(held, cuts, strict=True) if c < len(x[0])]
+                size = sum(map(of, held))
         if held:
-            yield from split(held, flush, large)
-
-    def split(rows: list[tuple], flush, large) -> Iterator[pa.RecordBatch]:
-        """The rest of an anchor that was not final is not final either."""
-        if large is None:
-            yield from flush(rows, True)
-            return
-        here = [tuple(x[: int(np.searchsorted(part[0], large, side="right"))] for x in part) for part in rows]
-        rest = [tuple(x[int(np.searchsorted(part[0], large, side="right")) :] for x in part) for part in rows]
-        for some, final in ((here, False), (rest, True)):
-            some = [x for x in some if len(x[0])]
-            if some:
-                yield from flush(some, final)
-
-    return run
-
-
-def _look(rule: Rule, classes: Callable):
-    """Blocks of documents with segments to look at -> their windows: repeats within the block, and the rest by digest."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, j in pieces(b, 2):
-                part = b.slice(i, j - i)
-                data, offsets = utf8(part.column(2))
-                docs, tags = np.asarray(part.column(0)), np.asarray(part.column(1))
-                begin, end = word_places(data, offsets) if len(data) else (np.empty(0, np.int64),) * 2
-                bounds = np.searchsorted(begin, offsets)
-                lists = part.column(3)
-                text = np.repeat(np.arange(len(docs)), np.diff(np.asarray(lists.offsets)))
-                first, size = unpack(np.asarray(lists.flatten()))
-                at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                first, text = np.repeat(first, size) + at, np.repeat(text, size)
-                yield from _settle(rule, data, first + bounds[text], docs[text], first, tags[text], lambda d, s, begin=begin, end=end: classes(d, s, begin, end, rule.length), False)
+            yield from settle(held)
 
     return run
 
 
-def _sorted(df: DataFrame, n: int, *keys: str) -> DataFrame:
-    return df.repartition(n, "r").sortWithinPartitions("r", *keys, "doc", "place")
+def _by_key(df: DataFrame, *columns: str) -> DataFrame:
+    return df.groupBy("doc", "tag").agg(F.collect_list(F.struct(*columns) if len(columns) > 1 else F.col(columns[0])).alias("ranges"))
 
 
-BLOCK = 1 << 21  # bytes of text whose windows are sorted together
+def repeats(docs: DataFrame, rule: Rule, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
+    """docs (row, doc: long, tag: long, text) -> (doc, tag, ranges): packed window ranges that repeat earlier text, a row for each key with any."""
+    n = partitions(docs)
+    met = docs.select("doc", "tag", "text").mapInArrow(_send(rule), ROWS).repartition(n, "r").sortWithinPartitions("r", "s", "doc", "place", "tag")
+    found = stored(met.mapInArrow(_meet(rule, False), MET))
+    look = found.where(F.col("kind") == LOOK).select("r", "doc", "tag", "place")
+    crowds = look.groupBy("r").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("r", F.ceil(F.col("n") / crowd).alias("parts"))
+    dealt = look.join(crowds, "r", "left")
+    part = F.xxhash64("r", F.pmod(F.xxhash64("doc", "tag"), F.col("parts")))
+    dealt = dealt.select("doc", "tag", "place", F.coalesce(part, F.col("r")).alias("q"), F.isnull("parts").alias("final"))
+    # `row` isn't read here: with it both joins read one exchange of the documents
+    cut = docs.join(_by_key(dealt, "q", "final", "place"), ["doc", "tag"]).select("doc", "tag", "text", "ranges", "row").mapInArrow(_cut(rule), CUT)
+    window = cut.repartition(n, "q").sortWithinPartitions("q", "doc", "tag", "place").mapInArrow(_at_anchor(rule, block), ROWS)
+    window = window.repartition(n, "r").sortWithinPartitions("r", "s", "doc", "place", "tag").mapInArrow(_meet(rule, True), MET)
+    return _by_key(found.where(F.col("kind") == SURE).select("doc", "tag", "place").union(window.select("doc", "tag", "place")), "place")
 
 
-def repeats(docs: DataFrame, rule: Rule, classes: Callable, block: int = BLOCK) -> DataFrame:
-    """docs (row, doc: long, tag: long, text) -> (doc, tag, ranges): packed window ranges that repeat earlier text, a row for each document with any."""
-    n, out = partitions(docs), "kind byte, r long, doc long, place long"
-    found = stored(_sorted(docs.select("doc", "tag", "text").mapInArrow(_send(rule), ROWS), n, "s").mapInArrow(_meet(rule, False), out))
-    by_doc = lambda df: df.groupBy("doc", F.shiftright("place", 40).alias("tag")).agg(F.collect_list("place").alias("ranges"))
-    look = by_doc(found.where(F.col("kind") == LOOK))
-    # `row` isn't read here: with it both joins read one exchange of the documents
-    blocks = docs.join(look, ["doc", "tag"]).select("doc", "tag", "text", "ranges", "row")
-    if rule.words:
-        window = blocks.mapInArrow(_look(rule, classes), ROWS)
-    else:
-        cut = blocks.mapInArrow(_cut(rule), "r long, doc long, place long, body binary")
-        window = _sorted(cut, n).mapInArrow(_at_anchor(rule, classes, block), ROWS)
-    window = _sorted(window, n, "s").mapInArrow(_meet(rule, True), out)
-    return by_doc(found.where(F.col("kind") == SURE).select("doc", "place").union(window.select("doc", "place")))
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with doc_id, text -> row (the other columns), doc (null: the smallest), tag, text (null: empty)."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"),
+        F.xxhash64(text).alias("tag"),
+        text.alias("text"),
+    )
 
 
 def covered(ranges: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -488,19 +426,13 @@ def covered(ranges: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(first[new].tolist(), reach[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(first) - 1]))].tolist(), strict=True))
 
 
-def remove(docs: DataFrame, rule: Rule, classes: Callable) -> DataFrame:
+def remove(docs: DataFrame, rule: Rule) -> DataFrame:
     """docs -> `row` (docs' own columns but text), n_units, n_removed, n_spans, kept (binary).
 
     kept: what is left of the bytes, or of the words joined by a space.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"),
-        F.xxhash64(text).bitwiseAND(F.lit((1 << 23) - 1)).alias("tag"),
-        text.alias("text"),
-    )
-    both = keyed.join(repeats(keyed, rule, classes), ["doc", "tag"], "left").select("row", "text", "ranges")
+    rows = keyed(docs)
+    both = rows.join(repeats(rows, rule), ["doc", "tag"], "left").select("row", "text", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -509,6 +441,7 @@ def remove(docs: DataFrame, rule: Rule, classes: Callable) -> DataFrame:
                 body = t.encode()
                 body = body.split() if rule.words else body
                 gone = covered(np.asarray(ranges.values), rule.length) if ranges.is_valid else []
+                gone = [(i, j) for i, j in gone if j <= len(body)]
                 left, at = [], 0
                 for i, j in gone:
                     left.append(body[at:i])
@@ -520,5 +453,5 @@ def remove(docs: DataFrame, rule: Rule, classes: Callable) -> DataFrame:
                 kept.append(b" ".join([w for x in left for w in x]) if rule.words else b"".join(left))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (units, removed, spans)), pa.array(kept, pa.binary())], ["row", "n_units", "n_removed", "n_spans", "kept"])
 
-    schema = T.StructType([T.StructField("row", keyed.schema["row"].dataType), *(T.StructField(c, T.LongType()) for c in ("n_units", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
+    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), *(T.StructField(c, T.LongType()) for c in ("n_units", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
     return both.mapInArrow(run, schema)

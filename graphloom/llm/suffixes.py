@@ -17,11 +17,12 @@ length are read whole, and no string crosses a document's end.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, utf8
 from .spans import Rule, remove
 
 LENGTH, GRAM = 100, 24
@@ -104,19 +105,29 @@ def sort_block(data: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
     return found
 
 
-def suffix_classes(data: np.ndarray, start: np.ndarray, length: int):
-    found = sort_block(data, start, length)
+def solve(rule: Rule, bodies: pa.Array, doc: np.ndarray, first: np.ndarray, n: np.ndarray):
+    """A block's windows by suffix sorting: a window repeats the first of its class in order of document and place."""
+    data, offsets = utf8(bodies)
+    row = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    start = offsets[row] + at
+    found, d, p = sort_block(data, start, rule.length), doc[row], first[row] + at
+    order = np.lexsort((p, d, found))
+    new = np.ones(len(order), bool)
+    new[1:] = found[order][1:] != found[order][:-1]
+    lead = np.empty(len(order), np.int64)
+    lead[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
 
     def digest(rows: np.ndarray) -> np.ndarray:
         raw = data.tobytes()
-        return np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[i : i + length]) for i in start[rows].tolist()]), np.int64).reshape(-1, 2)
+        return np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[i : i + rule.length]) for i in start[rows].tolist()]), np.int64).reshape(-1, 2)
 
-    return found, digest
+    return row, at, rule.repeats(d, p, lead), digest
 
 
 def drop_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """docs -> `row` (docs' own columns), n_units (bytes), n_removed, n_spans, kept (the bytes left). length > 2 * 21."""
-    return remove(docs, Rule(length, gram, words=False, same_doc=True), suffix_classes)
+    return remove(docs, Rule(length, gram, False, True, solve))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -256,14 +256,13 @@ def test_near_copies_leave_one(spark):
 
 
 def brute_bytes(docs, length=100):
-    seen, out = {}, Counter()
+    out = Counter()
     order = sorted(docs, key=lambda x: key(x[0]))
     first = {}
     for i, t in order:
         b = t.encode()
         for p in range(len(b) - length + 1):
             first[b[p : p + length]] = min(first.get(b[p : p + length], (key(i), p)), (key(i), p))
-    del seen
     for i, t in order:
         b = t.encode()
         gone = np.zeros(len(b), bool)
@@ -291,36 +290,96 @@ def test_suffix_block_orders_all_windows():
     assert len(set(zip(found.tolist(), expected.tolist(), strict=True))) == len(set(expected.tolist())) == len(set(found.tolist()))
 
 
-@pytest.mark.parametrize("block", [150, 400, 3000])
-def test_crowded_anchors_pass_on_windows(spark, block):
+@pytest.mark.parametrize(("block", "crowd"), [(150, 1024), (400, 1024), (3000, 1024), (1 << 21, 3)])
+@pytest.mark.parametrize("words", [False, True])
+def test_crowded_anchors_pass_on_windows(spark, block, crowd, words):
     rng = np.random.default_rng(2)
-    letters = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    letters = lambda n: (" " if words else "").join(chr(x) for x in rng.integers(97, 123, n))
     shared = letters(160)
-    docs = [(i, letters(120) + shared + letters(130)) for i in range(12)] + [(20, shared * 3)]
-    df = spark.createDataFrame(docs, "doc_id long, text string").select("doc_id", F.col("doc_id").alias("doc"), F.lit(5).cast("long").alias("tag"), "text", F.struct("doc_id").alias("row"))
-    got = {r.doc: sum(j - i for i, j in spans.covered(np.array(r.ranges), 100)) for r in spans.repeats(df, spans.Rule(100, 24, False, True), suffixes.suffix_classes, block).collect()}
-    assert got == {k[0]: k[2] for k in brute_bytes(docs) if k[2]}
+    join = (lambda *x: " ".join(x)) if words else (lambda *x: "".join(x))
+    docs = [(i, join(letters(120), shared, letters(130))) for i in range(12)] + [(20, join(shared, shared, shared))]
+    rule = spans.Rule(50, 8, True, False, substrings.solve) if words else spans.Rule(100, 24, False, True, suffixes.solve)
+    found = spans.repeats(spans.keyed(spark.createDataFrame(docs, "doc_id long, text string")), rule, block, crowd).collect()
+    got = {r.doc: sum(j - i for i, j in spans.covered(np.array(r.ranges), rule.length)) for r in found}
+    assert got == {k[0]: k[2] for k in (brute_words(docs) if words else brute_bytes(docs)) if k[2]}
 
 
-def test_substrings(awkward, nothing):
-    docs = sorted(rows_of(awkward), key=lambda x: key(x[0]))
+def rows_of_one_id(n):
+    """Many rows without a doc_id whose texts repeat themselves and each other, and some rows twice."""
+    rng = np.random.default_rng(6)
+    passage = " ".join(f"w{x}" for x in rng.integers(0, 900, 60))
+    rows = [(None, f"row {i} of many {passage[: 150 + i % 90]} then {i} again {passage[: 150 + i % 90]}" if i % 6 == 0 else f"short {i}") for i in range(n)]
+    return [*rows, *rows[:600:7], (1, passage), (2, passage + " more"), (2, "before " + passage)]
+
+
+def test_many_rows_without_an_id(spark):
+    rows = rows_of_one_id(12000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffixes.drop_repeated_bytes(docs).collect()
+    assert Counter((r.row.doc_id, r.n_units, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == brute_bytes(rows)
+    got = substrings.drop_repeated_passages(docs).collect()
+    assert Counter((r.row.doc_id, r.n_units, r.n_removed, bytes(r.kept)) for r in got) == brute_words(rows)
+
+
+@pytest.mark.parametrize("words", [False, True])
+def test_keys_that_collide_don_t_crash(spark, words):
+    rule = spans.Rule(50, 8, True, False, substrings.solve) if words else spans.Rule(100, 24, False, True, suffixes.solve)
+    rng = np.random.default_rng(8)
+    text = " ".join(f"w{x}" for x in rng.integers(0, 900, 300))
+    docs = spark.createDataFrame([(1, "x " + text), (2, text), (2, "short"), (2, text[:400] + " z " + text[300:]), (3, text)], "doc_id long, text string")
+    assert spans.repeats(spans.keyed(docs).withColumn("tag", F.lit(5).cast("long")), rule).count() == 2
+
+
+def brute_words(docs, length=50):
+    order = sorted(docs, key=lambda x: key(x[0]))
     first = {}
-    for i, t in docs:
-        w = t.encode().split()
-        for p in range(len(w) - 49):
-            k = tuple(w[p : p + 50])
+    for i, t in order:
+        w = (t or "").encode().split()
+        for p in range(len(w) - length + 1):
+            k = tuple(w[p : p + length])
             first[k] = min(first.get(k, key(i)), key(i))
     expected = Counter()
-    for i, t in docs:
-        w = t.encode().split()
+    for i, t in order:
+        w = (t or "").encode().split()
         gone = set()
-        for p in range(len(w) - 49):
-            if first[tuple(w[p : p + 50])] < key(i):
-                gone |= set(range(p, p + 50))
+        for p in range(len(w) - length + 1):
+            if first[tuple(w[p : p + length])] < key(i):
+                gone |= set(range(p, p + length))
         expected[i, len(w), len(gone), b" ".join(x for p, x in enumerate(w) if p not in gone)] += 1
+    return expected
+
+
+def test_substrings(awkward, nothing):
     got = substrings.drop_repeated_passages(awkward).collect()
-    assert Counter((r.row.doc_id, r.n_units, r.n_removed, bytes(r.kept)) for r in got) == expected
+    assert Counter((r.row.doc_id, r.n_units, r.n_removed, bytes(r.kept)) for r in got) == brute_words(rows_of(awkward))
     assert substrings.drop_repeated_passages(nothing).count() == 0
+    spans_of = defaultdict(set)
+    for r in substrings.long_factors(awkward).collect():
+        spans_of[r.doc_id] |= set(range(r.first_word, r.first_word + r.n_words))
+    assert {i: len(x) for i, x in spans_of.items()} == {k[0]: k[2] for k in brute_words(rows_of(awkward)) if k[2]}
+
+
+def test_parse_is_the_greedy_one():
+    """Factors of each text against the texts of smaller documents, by trying every place and length."""
+    rng = np.random.default_rng(9)
+    for _ in range(80):
+        sizes = rng.integers(0, 15, rng.integers(1, 7))
+        bounds = np.concatenate(([0], np.cumsum(sizes)))
+        codes, doc = rng.integers(0, 3, bounds[-1]).astype(np.uint64), rng.integers(0, 4, len(sizes))
+        text = [codes[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        grams = [{tuple(x[i:j]) for i in range(len(x)) for j in range(i + 1, len(x) + 1)} for x in text]
+        expected, windows = [], []
+        for t, x in enumerate(text):
+            has = lambda i, j, t=t, x=x: any(tuple(x[i:j]) in g for g, d in zip(grams, doc, strict=True) if d < doc[t])
+            at = 0
+            while at < len(x):
+                n = max([j for j in range(1, len(x) - at + 1) if has(at, at + j)], default=1)
+                expected.append((bounds[t] + at, n))
+                at += n
+            windows += [bounds[t] + i for i in range(len(x) - 3) if has(i, i + 4)]
+        longest = substrings.longest_matches(codes, bounds, doc)
+        assert list(zip(*substrings.greedy_factors(longest, bounds), strict=True)) == expected
+        assert np.flatnonzero(substrings.repeated_windows(longest, bounds, 4)).tolist() == windows
 
 
 def test_fingerprints(awkward, nothing):
