@@ -1,18 +1,31 @@
-"""Near duplicates by exact Jaccard similarity of word-shingle sets: a prefix-filter join.
+"""Near duplicates: SimHash covering tables find most links, a prefix-filter join the rest, exact Jaccard decides.
 
 A text is the set of its distinct k-word shingles, each known by 64 bits of hash; equal
-sets are one node from the start. Under any one order of all shingles, two sets of
-similarity 4/5 or more share one of their first n - ceil(4n/5) + 1 members, so buckets by
-those members hold every such pair. The order is by hash, with shingles that a sample of
-the documents shows to be common last (rarer ones first): the sample decides what a run
-costs, never what it finds. A set's bitmap has a bit for each value of the last bits of its members' hashes, at least as
+sets are one node from the start. Candidates come from two searches:
+
+1. SimHash: sets whose 64-bit fingerprints differ in two bits or fewer collide in a covering
+   table (covering.py). That is linear work and joins up the large families of close copies.
+   At similarity 4/5 fingerprints differ in about 10 of 64 bits, which no affordable covering
+   reaches, hence
+2. a prefix-filter join, which holds every pair at 4/5 and more: under any one order of all
+   shingles, two such sets share one of their first n - ceil(4n/5) + 1 members. The order is by
+   hash, with shingles that a sample of the documents shows to be common last (rarer ones
+   first): the sample decides what a run costs, never what it finds.
+
+A set's bitmap has a bit for each value of the last bits of its members' hashes, at least as
 many bits as members: bits that one set has and the other lacks are as many members at least
 that aren't shared, which rules most candidates out for certain. The others are verified on the whole sets.
 
-A large bucket first compares all its nodes to its least one. Where that leaves it in more
-than one component, all its pairs across components are compared, block by block, so that
-no task holds a whole bucket. Pairs within a component need no comparison: links only serve
-for components. The components are those of all pairs at 4/5 or more.
+A large bucket first compares all its nodes to its least one. Where that and SimHash leave it in
+more than one component, its pairs across components are compared in blocks of `block` nodes, so that
+no task holds a whole bucket, and only pairs that their bitmaps allow leave a task. Pairs within
+a component need no comparison: links only serve for components, which are those of all pairs
+at 4/5 or more.
+
+Defined results: texts without words are equal to each other only; rows of an equal or null
+doc_id are told apart by their texts (64 bits of hash), and rows equal in both are one document;
+an empty table gives no rows; whole texts are read, whatever their length; other columns aren't
+looked at.
 """
 
 from __future__ import annotations
@@ -27,6 +40,8 @@ from pyspark.sql import functions as F
 
 from .common import partitions, stored, texts
 from .components import components
+from .covering import links
+from .simhash import bits_of, majority
 
 SHINGLE, SMALL, BLOCK = 5, 8, 1024
 #: Shingles in OFTEN or more of one document in SAMPLE are common; the order knows COMMON of them at most.
@@ -63,18 +78,22 @@ def common(docs: DataFrame, k: int = SHINGLE) -> np.ndarray:
     return np.array([r.h for r in reversed(rows)], np.int64).view(np.uint64)
 
 
+PRINTS = "doc_id long, th long, node long, n long, fp long, prefix array<long>, bits binary"
+
+
 def prefixes(docs: DataFrame, late: np.ndarray, k: int = SHINGLE) -> DataFrame:
-    """docs with doc_id, text -> doc_id, node (hash of the set), n (its size), prefix (its first members, `late` ones last), bits."""
+    """docs with doc_id, text -> doc_id, th (the text's hash), node (hash of the set), n (its size), fp (SimHash of the set), prefix (its first members, `late` ones last), bits."""
     rank = np.argsort(late)
     known, rank = late[rank], rank
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, sizes, firsts, bits = [], [], [], []
-            for t in texts(b.column(1)):
+            nodes, sizes, prints, firsts, bits = [], [], [], [], []
+            for t in texts(b.column(2)):
                 found = shingles(t, k)
                 nodes.append(_node(found))
                 sizes.append(len(found))
+                prints.append(bits_of(majority(found), len(found)))
                 seen = np.zeros(max(1024, 1 << max(0, len(found) - 1).bit_length()), bool)
                 seen[(found & np.uint64(len(seen) - 1)).astype(np.int64)] = True
                 bits.append(np.packbits(seen).tobytes())
@@ -86,9 +105,10 @@ def prefixes(docs: DataFrame, late: np.ndarray, k: int = SHINGLE) -> DataFrame:
                 firsts.append(found[:length].view(np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in firsts]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *firsts])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists, pa.array(bits, pa.binary())], ["doc_id", "node", "n", "prefix", "bits"])
+            fp = pa.array(np.array(prints, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), fp, lists, pa.array(bits, pa.binary())], ["doc_id", "th", "node", "n", "fp", "prefix", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n long, prefix array<long>, bits binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, PRINTS)
 
 
 def possible(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -153,20 +173,46 @@ def _candidates(small: int):
     return run
 
 
+def unshared(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many members of each set the other can't have, by rows of bitmaps (words of 64 bits) of one size."""
+    return np.bitwise_count(x & ~y).sum(1, dtype=np.int64), np.bitwise_count(y & ~x).sum(1, dtype=np.int64)
+
+
+def _folded(bitmaps: np.ndarray, size: int) -> np.ndarray:
+    """Bitmaps of fewer, `size`, words."""
+    return np.bitwise_or.reduce(bitmaps.reshape(len(bitmaps), -1, size), axis=1)
+
+
+def _bitmaps(found: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(found), np.uint64).reshape(len(found), -1)
+
+
 def _across(rows: pa.Table) -> pa.Table:
-    """The candidate pairs of two blocks of a bucket (or of one with itself) whose components differ, with the members that both may share after this one."""
+    """The pairs of two blocks of a bucket (or of one with itself) that bitmaps allow and whose components differ, with the members that both may share after this one."""
+    rows = rows.combine_chunks()
     node, n, i, root, own = (np.asarray(rows[c].combine_chunks()) for c in ("node", "n", "i", "root", "own"))
-    lo, hi = rows["lo"][0].as_py(), rows["hi"][0].as_py()
-    left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-    a, b, rest, total = ([np.empty(0, np.int64)] for _ in range(4))
+    bits, lo, hi = rows["bits"].to_pylist(), rows["lo"][0].as_py(), rows["hi"][0].as_py()
+    words = np.array([len(x) for x in bits]) // 8
+    left = np.flatnonzero(own == lo)
+    classes = {w: np.flatnonzero((own == hi) & (words == w)) for w in np.unique(words)}
+    # sets at 4/5 differ by a quarter in size, so that bitmaps are of one size or one is twice the other
+    maps = {(w, v): _folded(_bitmaps([bits[y] for y in ys]), v) for w, ys in classes.items() if len(ys) for v in (w, w // 2) if v >= 16 or v == w}
+    out: list[tuple] = []
     for x in left:
-        y = right[(root[right] != root[x]) & (node[right] > node[x] if lo == hi else True)]
-        y = y[possible(n[x], i[x], n[y], i[y])]
-        a.append(np.minimum(node[x], node[y]))
-        b.append(np.maximum(node[x], node[y]))
-        rest.append(np.minimum(n[x] - i[x], n[y] - i[y]) - 1)
-        total.append(n[x] + n[y])
-    return pa.table({k: np.concatenate(v) for k, v in {"a": a, "b": b, "rest": rest, "total": total}.items()})
+        for (w, v), all_y in maps.items():
+            if v != min(words[x], w) or max(words[x], w) > 2 * min(words[x], w):
+                continue
+            ys = classes[w]
+            at = np.flatnonzero((root[ys] != root[x]) & ((node[ys] > node[x]) if lo == hi else True) & possible(n[x], i[x], n[ys], i[ys]))
+            if not len(at):
+                continue
+            mine, theirs = unshared(_folded(_bitmaps([bits[x]]), v), all_y[at])
+            y = ys[at]
+            y = y[9 * np.minimum(n[x] - mine, n[y] - theirs) >= 4 * (n[x] + n[y])]
+            if len(y):
+                out.append((np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), np.minimum(n[x] - i[x], n[y] - i[y]) - 1, n[x] + n[y]))
+    columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 4
+    return pa.table(dict(zip(("a", "b", "rest", "total"), columns, strict=True)))
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -181,8 +227,8 @@ def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             sizes, most = np.array([(len(x), len(y)) for x, y in zip(xa, xb, strict=True)]) // 8, np.zeros(len(n), np.int64)
             for size in np.unique(sizes, axis=0):  # the larger bitmaps are folded to the size of the smaller
                 at = np.flatnonzero((sizes == size).all(1))
-                x, y = (np.bitwise_or.reduce(np.frombuffer(b"".join(z[i] for i in at), np.uint64).reshape(len(at), -1, size.min()), axis=1) for z in (xa, xb))
-                most[at] = np.minimum(n[at] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), m[at] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+                mine, theirs = unshared(*(_folded(_bitmaps([z[i] for i in at]), size.min()) for z in (xa, xb)))
+                most[at] = np.minimum(n[at] - mine, m[at] - theirs)
             yield batch.select(["a", "b"]).filter(pa.array(9 * most >= 4 * (n + m)))
 
     one, two = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}")) for c in "ab")
@@ -198,39 +244,60 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int) -> Da
             yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in found], pa.int64()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["node", "members"])
 
     asked = stored(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "least"))
-    read = docs.join(asked.select(F.col("least").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
+    keys = asked.select(F.col("least.doc_id").alias("_id"), F.col("least.th").alias("_th")).distinct()
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    read = rows.join(keys, (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
     sets = stored(read.mapInArrow(run, "node long, members array<long>").join(asked.select("node"), "node", "left_semi").dropDuplicates(["node"]))
     one, two = (sets.select(F.col("node").alias(c), F.col("members").alias(f"m{c}")) for c in "ab")
     shared = F.size(F.array_intersect("ma", "mb"))
     return stored(pairs.join(one, "a").join(two, "b").where(9 * shared >= 4 * (F.size("ma") + F.size("mb"))).select("a", "b"))
 
 
-def near_groups(docs: DataFrame, k: int = SHINGLE, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """docs with doc_id, text -> doc_id, component_id (the smallest doc_id) over links of 4/5 similarity and more on k-word shingles.
+def _alike(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes by SimHash: of equal fingerprints, each with the least; of fingerprints within two bits, a spanning forest."""
+    of = stored(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
+    same = nodes.join(of, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    near = links(of.select(F.col("fp").alias("node"), "fp"))
+    for c in "ab":
+        near = near.join(of.select(F.col("fp").alias(c), F.col("rep").alias(f"r{c}")), c)
+    return same.union(near.select(F.least("ra", "rb"), F.greatest("ra", "rb")))
 
-    Texts without words are equal to each other only.
-    """
+
+def _rooted(docs: DataFrame, k: int, small: int, block: int) -> DataFrame:
+    """docs with doc_id, text -> doc_id, th, root: the same for the texts of one component."""
     prints = stored(prefixes(docs, common(docs, k), k))
-    nodes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")))
+    nodes = stored(prints.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")))
     rows = nodes.select("node", "n", F.posexplode("prefix").alias("i", "h")).select("h", "node", "n", F.col("i").cast("long").alias("i"))
     dealt = rows.repartition(partitions(docs), "h").sortWithinPartitions("h", "node")
     got = stored(dealt.mapInArrow(_candidates(small), "h long, node long, n long, i long"))
-    first = got.where("i < 0").select(F.col("h").alias("a"), F.col("node").alias("b")).distinct()
+    first = got.where("i < 0").select(F.col("h").alias("a"), F.col("node").alias("b")).union(_alike(nodes.select("node", "fp"))).distinct()
     found = _verified(stored(_bounded(first, nodes)), docs, nodes, k)
     roots = components(found)
     crowded = got.where("i >= 0").join(roots, "node", "left").select("h", "node", "n", "i", F.coalesce("root", "node").alias("root"))
     mixed = crowded.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s")
     blocks = mixed.select("h", F.ceil(F.col("m") / block).alias("blocks"))
-    own = crowded.join(blocks, "h").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    own = crowded.join(blocks, "h").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))).join(nodes.select("node", "bits"), "node")
     spread = own.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("lo", F.least("own", "c")).withColumn("hi", F.greatest("own", "c"))
     # A pair not in `first` shares no prefix member but those counted here, and after the last of them `rest` members at most.
-    shared = spread.groupBy("h", "lo", "hi").applyInArrow(_across, "a long, b long, rest long, total long")
+    shared = spread.repartition(partitions(docs), "h", "lo", "hi").groupBy("h", "lo", "hi").applyInArrow(_across, "a long, b long, rest long, total long")
     shared = shared.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min("rest").alias("rest"), F.first("total").alias("total"))
-    more = shared.where("9 * (c + rest) >= 4 * total").select("a", "b").join(first, ["a", "b"], "left_anti")
-    more = stored(_bounded(more, nodes))
+    more = stored(shared.where("9 * (c + rest) >= 4 * total").select("a", "b").join(first, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         found = found.union(_verified(more, docs, nodes, k))
         roots = components(found)
-    named = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.select("doc_id", "node").join(named.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return prints.select("doc_id", "th", "node").join(roots, "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("root"))
+
+
+def near_groups(docs: DataFrame, k: int = SHINGLE, small: int = SMALL, block: int = BLOCK) -> DataFrame:
+    """docs with doc_id, text -> doc_id, component_id (the smallest doc_id) over links of 4/5 similarity and more on k-word shingles."""
+    rooted = stored(_rooted(docs, k, small, block))
+    return rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each near-duplicate group, with docs' own columns: that of the smallest doc_id (null last; of equal ones the smallest hash of text), and one of equal rows."""
+    rooted = _rooted(docs.select("doc_id", "text"), SHINGLE, SMALL, BLOCK)
+    least = rooted.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "th")).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.th").alias("_th"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_hash"))
+    kept = row.join(least, (F.col("_hash") == F.col("_th")) & F.col("_doc").eqNullSafe(F.col("_id")), "left_semi")
+    return kept.dropDuplicates(["_doc", "_hash"]).select("_row.*")

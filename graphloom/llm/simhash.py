@@ -1,15 +1,7 @@
 """SimHash near-duplicates by covering locality-sensitive hashing.
 
-Each of the 64 bits is given a vector of radius + 1 bits. For each non-zero vector v a
-table masks the fingerprint to the bits whose vector has an odd inner product with v.
-The vectors of any `radius` bits leave some v orthogonal to all of them, so a pair that
-differs in those bits alone agrees in v's table: every pair within the radius collides,
-none by chance. A bucket with more than `most` fingerprints is covered again over
-the bits that its mask left out, until its mask leaves too few bits for it to be
-large; so no bucket is capped and no task holds more than `most` of its rows.
-
-Equal fingerprints are one node from the start. A bucket sends on a spanning forest of
-its links, never all pairs.
+Fingerprints within the radius are found by covering tables (see covering.py): every such pair
+collides in one. Equal fingerprints are one node from the start.
 
 Defined results: a null or empty text, or one without words, has fingerprint 0, linked
 like any other; rows with equal doc_id are fingerprinted one by one; an empty table
@@ -27,15 +19,29 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, stored, table, texts
+from .common import stored, table, texts
 from .components import components
-from .shingles import near_groups
+from .covering import MOST, RADIUS, links
 
-FULL = (1 << 64) - 1
-SHINGLE, RADIUS, MOST = 3, 2, 2048
+SHINGLE = 3
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
+def majority(cells: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit hashes have each bit."""
+    cells, counts = cells.view(np.uint8).reshape(-1, 8), np.zeros(64, np.int64)
+    if len(cells) < 256:
+        return np.unpackbits(cells, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    for byte in range(8):
+        counts[8 * byte : 8 * byte + 8] = np.bincount(cells[:, byte], minlength=256) @ _BITS
+    return counts
+
+
+def bits_of(counts: np.ndarray, n: int) -> int:
+    """The fingerprint: a bit is set if over half of n hashes have it."""
+    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: str, k: int) -> int:
     """64 majority bits over the XXH64 (seed 42) of the text's k-word shingles, repeats included."""
     ws = text.encode().lower().split()  # bytes: only A-Z and the six ASCII spaces count
@@ -48,13 +54,8 @@ def fingerprint(text: str, k: int) -> int:
     n, counts = len(ws) - k + 1, np.zeros(64, np.int64)
     for at in range(0, n, 1 << 20):
         st, en = starts[at : min(n, at + (1 << 20))].tolist(), ends[at + k - 1 : min(n, at + (1 << 20)) + k - 1].tolist()
-        cells = np.array([digest(joined[a:b], 42) for a, b in zip(st, en, strict=True)], np.uint64).view(np.uint8).reshape(-1, 8)
-        if len(cells) < 256:
-            counts += np.unpackbits(cells, axis=1, bitorder="little").sum(0, dtype=np.int64)
-        else:
-            for byte in range(8):
-                counts[8 * byte : 8 * byte + 8] += np.bincount(cells[:, byte], minlength=256) @ _BITS
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+        counts += majority(np.array([digest(joined[a:b], 42) for a, b in zip(st, en, strict=True)], np.uint64))
+    return bits_of(counts, n)
 
 
 def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -68,152 +69,15 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def covering(radius: int, over: int = FULL) -> list[int]:
-    """2 ** (radius + 1) - 1 masks of the bits `over`: two words that differ in `radius` of them or fewer agree under some mask."""
-    size = 1 << (radius + 1)
-    bits = [b for b in range(64) if over >> b & 1]
-    return [sum(1 << b for i, b in enumerate(bits) if bin((i % (size - 1) + 1) & v).count("1") % 2) for v in range(1, size)]
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def tables(words: int, radius: int) -> list[tuple[int, int, int]]:
-    """(word, its bits to cover, mask) of each table.
-
-    One word is covered whole. With more, twelve choices of 32 bits for every four
-    words (both halves and the even bits of each) are covered one by one: a pair
-    collides if any choice differs in `radius` bits or fewer.
-    """
-    if words == 1:
-        return [(0, FULL, m) for m in covering(radius)]
-    choices = [(w, c) for w in range(words) for c in (FULL >> 32, FULL ^ FULL >> 32, FULL // 3)]
-    return [(w, c, m) for w, c in choices for m in covering(radius, c)]
-
-
-def _forest(ids: np.ndarray, fps: np.ndarray, limit: int) -> tuple[list[int], list[int]]:
-    """A spanning forest of the links (distance up to limit) among one bucket's rows, row by row: memory is linear."""
-    left, a, b = np.arange(len(ids)), [], []
-    while len(left) > 1:
-        front, left = [left[0]], left[1:]
-        while front and len(left):
-            j = front.pop()
-            near = np.bitwise_count(fps[left] ^ fps[j]).sum(1, dtype=np.int64) <= limit
-            new, left = left[near], left[~near]
-            front += new.tolist()
-            a += [ids[j]] * len(new)
-            b += ids[new].tolist()
-    return a, b
-
-
-def links(nodes: DataFrame, words: int = 1, radius: int = RADIUS, limit: int = RADIUS, most: int = MOST) -> DataFrame:
-    """nodes (node: long, fp: array of `words` longs) -> edges (a, b) among nodes.
-
-    Candidates collide in a covering table of `radius`; they link if their words
-    differ in `limit` bits or fewer altogether. The edges' components are those of
-    all such links.
-    """
-    names = [f"w{i}" for i in range(words)]
-    small = 8
-
-    def solve(last: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Buckets in order of (t, k) in; links (t = -1) and the rows of too large buckets out."""
-
-            def out(t, a, b) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(np.asarray(t, np.int32)), pa.array(np.asarray(a, np.int64)), pa.array(np.asarray(b, np.int64))], ["t", "a", "b"])
-
-            def linked(t: np.ndarray, k: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-                """Whole buckets. Small ones by shifted comparison, all at once; the others by search."""
-                if not len(t):
-                    return
-                cuts = np.concatenate(([0], np.flatnonzero((t[1:] != t[:-1]) | (k[1:] != k[:-1])) + 1, [len(t)]))
-                sizes = np.diff(cuts)
-                bucket = np.repeat(np.where(sizes <= small, np.arange(len(sizes)), -1), sizes)
-                for shift in range(1, small):
-                    at = np.flatnonzero((bucket[shift:] == bucket[:-shift]) & (bucket[shift:] >= 0))
-                    at = at[np.bitwise_count(fps[at] ^ fps[at + shift]).sum(1, dtype=np.int64) <= limit]
-                    if len(at):
-                        yield out(np.full(len(at), -1), ids[at], ids[at + shift])
-                for i in np.flatnonzero(sizes > small):
-                    a, b = _forest(ids[cuts[i] : cuts[i + 1]], fps[cuts[i] : cuts[i + 1]], limit)
-                    if a:
-                        yield out(np.full(len(a), -1), a, b)
-
-            held, big = None, None
-            for batch in batches:
-                t, k, ids = (np.asarray(batch.column(i)) for i in range(3))
-                fps = np.stack([np.asarray(batch.column(3 + i)) for i in range(words)], axis=1).view(np.uint64)
-                if big is not None:  # what follows of a bucket already found too large
-                    n = int(np.searchsorted(~((t == big[0]) & (k == big[1])), True))
-                    yield out(t[:n], ids[:n], ids[:n])
-                    t, k, ids, fps = t[n:], k[n:], ids[n:], fps[n:]
-                    big = big if not len(t) else None
-                if held is not None:
-                    t, k, ids, fps = (np.concatenate(x) for x in zip(held, (t, k, ids, fps), strict=True))
-                if not len(t):
-                    continue
-                cut = int(np.flatnonzero((t != t[-1]) | (k != k[-1]))[-1]) + 1 if (t[0], k[0]) != (t[-1], k[-1]) else 0
-                full = slice(0, cut)
-                if cut:
-                    sizes = np.diff(np.concatenate(([0], np.flatnonzero((t[1:cut] != t[: cut - 1]) | (k[1:cut] != k[: cut - 1])) + 1, [cut])))
-                    large = np.repeat(sizes > most, sizes) if not last else np.zeros(cut, bool)
-                    if large.any():
-                        yield out(t[full][large], ids[full][large], ids[full][large])
-                    yield from linked(t[full][~large], k[full][~large], ids[full][~large], fps[full][~large])
-                held = (t[cut:], k[cut:], ids[cut:], fps[cut:])
-                if not last and len(t) - cut > most:
-                    yield out(t[cut:], ids[cut:], ids[cut:])
-                    big, held = (t[-1], k[-1]), None
-            if held is not None:
-                yield from linked(*held)
-
-        return run
-
-    n, found = partitions(nodes), None
-    now, level = tables(words, radius), nodes.withColumn("t", F.lit(-1))
-    parents = [-1] * len(now)
-    while True:
-        last = all(bin(c & ~m).count("1") <= 8 for _, c, m in now)
-        keys: dict[int, list] = {}
-        for u, (parent, (w, _, m)) in enumerate(zip(parents, now, strict=True)):
-            keys.setdefault(parent, []).append(F.struct(F.lit(u).alias("t"), F.col("fp")[w].bitwiseAND(F.lit(_signed(m))).alias("k")))
-        spread = level.select("node", "fp", F.explode(F.coalesce(*[F.when(F.col("t") == t, F.array(*x)) for t, x in keys.items()])).alias("x"))
-        spread = spread.select("x.t", "x.k", "node", *[F.col("fp")[i].alias(c) for i, c in enumerate(names)])
-        got = stored(spread.repartition(n, "t", "k").sortWithinPartitions("t", "k").mapInArrow(solve(last), "t int, a long, b long"))
-        edges = got.where("t = -1").select("a", "b")
-        found = edges if found is None else found.union(edges)
-        hot = got.where("t >= 0").select("t", F.col("a").alias("node"))
-        still = sorted(r[0] for r in hot.select("t").distinct().collect())  # a row for each table at most
-        if not still:
-            return found
-        level = hot.join(nodes, "node")
-        parents, deeper = [], []
-        for t in still:  # cover over the bits that the mask of table t left out
-            w, c, m = now[t]
-            for x in covering(radius, c & ~m):
-                parents.append(t)
-                deeper.append((w, c, m | x))
-        now = deeper
-
-
 def groups(prints: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
     """prints (doc_id, fp: long) -> doc_id, fp, component_id: the smallest doc_id that links lead to."""
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(nodes.select(F.col("fp").alias("node"), F.array("fp").alias("fp")), 1, radius, radius, most))
+    roots = components(links(nodes.select(F.col("fp").alias("node"), "fp"), radius, most))
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(named.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is their near-duplicate group's smallest, with docs' own columns."""
-    first = near_groups(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"))
-    return row.join(first, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi").select("_row.*")
-
-
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = groups(stored(fingerprints(table(spark, sf_dir, "documents"))))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from graphloom.llm import simhash
+from graphloom.llm import shingles
 
 
 def shingle_set(text):
@@ -63,7 +63,7 @@ def family(rng, n=150, words=120):
 
 def grouped(spark, rows, **knobs):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    return {r.doc_id: r.component_id for r in simhash.near_groups(docs, **knobs).collect()}
+    return {r.doc_id: r.component_id for r in shingles.near_groups(docs, **knobs).collect()}
 
 
 def test_only_texts_at_four_fifths_are_linked(spark):

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from graphloom.llm import fingerprints, licenses, lines, mixing, packing, quality, simhash, spans, substrings, suffixes, warc
+from graphloom.llm import covering, fingerprints, licenses, lines, mixing, packing, quality, shingles, simhash, spans, substrings, suffixes, warc
 from graphloom.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -200,13 +200,13 @@ def test_simhash(awkward, nothing):
         if i is not None:
             least[root[f]] = min(i, least.get(root[f], i))
     assert all(r.component_id == least.get(root[r.fp % (1 << 64)]) for r in got)
-    assert simhash.groups(simhash.fingerprints(nothing)).count() == 0 and simhash.keep_one(nothing).count() == 0
-    assert simhash.keep_one(awkward).columns == awkward.columns
+    assert simhash.groups(simhash.fingerprints(nothing)).count() == 0 and shingles.keep_one(nothing).count() == 0
+    assert shingles.keep_one(awkward).columns == awkward.columns
 
 
 def test_covering_tables_miss_no_pair():
-    for radius, over in ((2, simhash.FULL), (2, 0xFFF0), (3, 0xFFFF)):
-        masks, bits = simhash.covering(radius, over), [b for b in range(64) if over >> b & 1]
+    for radius, over in ((2, covering.FULL), (2, 0xFFF0), (3, 0xFFFF)):
+        masks, bits = covering.covering(radius, over), [b for b in range(64) if over >> b & 1]
         assert len(masks) == 2 ** (radius + 1) - 1
         for i in bits:
             for j in bits:
@@ -223,8 +223,8 @@ def test_links_of_crowded_buckets(spark, most):
             fps.add(int(b) ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 5), replace=False)))
     fps = sorted(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    df = spark.createDataFrame([(s, [s]) for s in signed], "node long, fp array<long>")
-    roots = {r.node: r.root for r in components(simhash.links(df, most=most)).collect()}
+    df = spark.createDataFrame([(s, s) for s in signed], "node long, fp long")
+    roots = {r.node: r.root for r in components(covering.links(df, most=most)).collect()}
     label = {s: s for s in signed}
     changed = True
     near = [(signed[i], signed[j]) for i in range(len(fps)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 2]
@@ -251,7 +251,7 @@ def test_near_copies_leave_one(spark):
             rows.append((n, " ".join(own), g))
             n += 1
     docs = spark.createDataFrame(rows, "doc_id long, text string, g int")
-    kept = [r.doc_id for r in simhash.keep_one(docs).collect()]
+    kept = [r.doc_id for r in shingles.keep_one(docs).collect()]
     assert sorted(kept) == list(range(0, 120, 3))
 
 
