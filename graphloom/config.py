@@ -8,12 +8,15 @@ from pathlib import Path
 
 @dataclass(frozen=True)
 class EmbedConfig:
+    """The hashed n-gram embedder. dimension = buckets leaves its vectors unprojected, in double precision."""
+
     dimension: int = 256
     buckets: int = 4096
     seed: int = 42
     word_weight: float = 1.0
     gram_weight: float = 0.5
     pair_weight: float = 1.5
+    name: str = "local-hash-embed"
 
 
 @dataclass(frozen=True)
@@ -58,6 +61,7 @@ class RetrievalConfig:
     orphan_share: float = 0.5
     low_share: float = 0.5
     entity_cut: float = 0.2
+    boundary: str = "unicode"  # how a word's edge is told: see functions.text
 
 
 def load_config(path: str | None = None) -> RetrievalConfig:

@@ -1,14 +1,16 @@
 """Hashed n-gram embeddings: words, their 3-grams and neighbouring pairs, projected to a dense unit vector.
 
-`features` is the relational form, on which SQL can be checked. `Embedder` is the
-vectorised one that `with_embedding` and `with_similarity` run on Arrow batches.
+`Embedder` works on Arrow batches. `features` gives its sparse vectors, `with_embedding` the dense
+ones and `with_similarity` cosines; a text's vector is made within its row, so nothing shuffles.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -19,23 +21,6 @@ from pyspark.sql import types as T
 from ..config import EmbedConfig
 
 
-def bucket(token: Column, buckets: int = 4096) -> Column:
-    """md5 modulo 4096: the last three hex digits."""
-    assert buckets == 4096
-    return F.conv(F.right(F.md5(token), F.lit(3)), 16, 10).cast("int")
-
-
-def features(df: DataFrame, key: str, text: str, cfg: EmbedConfig = EmbedConfig()) -> DataFrame:
-    """key, bucket, weight (summed): the text's sparse vector before it is scaled to length 1."""
-    words = F.filter(F.split(F.lower(F.trim(F.col(text))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    each = df.select(key, words.alias("_w"))
-    w = each.select(key, F.explode("_w").alias("token"))
-    grams = w.where(F.length("token") >= 3).select(key, F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 2), lambda i: F.substring(F.col("token"), i, F.lit(3)))).alias("token"))
-    pairs = each.where(F.size("_w") > 1).select(key, F.explode(F.zip_with(F.slice("_w", F.lit(1), F.size("_w") - 1), F.slice("_w", F.lit(2), F.size("_w") - 1), lambda a, b: F.concat(a, F.lit("_"), b))).alias("token"))
-    parts = [x.select(key, bucket(F.col("token"), cfg.buckets).alias("bucket"), F.lit(v).alias("weight")) for x, v in ((w, cfg.word_weight), (grams, cfg.gram_weight), (pairs, cfg.pair_weight))]
-    return parts[0].union(parts[1]).union(parts[2]).groupBy(key, "bucket").agg(F.sum("weight").alias("weight"))
-
-
 @lru_cache(maxsize=4)
 def projection(dimension: int, buckets: int, seed: int) -> np.ndarray:
     """dimension x buckets with orthonormal rows, the same everywhere for a seed (up to signs of rows)."""
@@ -45,6 +30,7 @@ def projection(dimension: int, buckets: int, seed: int) -> np.ndarray:
 
 @lru_cache(maxsize=1 << 18)
 def _bucket(token: str) -> int:
+    """md5 modulo 4096: its last three hex digits."""
     return int.from_bytes(hashlib.md5(token.encode()).digest()[-2:], "big") & 0xFFF
 
 
@@ -52,21 +38,30 @@ class Embedder:
     """Text to a unit vector (zero for a text without words). Keeps the last texts' vectors."""
 
     def __init__(self, cfg: EmbedConfig = EmbedConfig()):
-        self.cfg, self.matrix = cfg, projection(cfg.dimension, cfg.buckets, cfg.seed)
-        self.columns = np.ascontiguousarray(self.matrix.T)
-        self.one = lru_cache(maxsize=1 << 15)(self._one)
+        self.cfg, self.whole = cfg, cfg.dimension == cfg.buckets
+        self.columns = None if self.whole else np.ascontiguousarray(projection(cfg.dimension, cfg.buckets, cfg.seed).T)
+        self.one = lru_cache(maxsize=(1 << 25) // ((8 if self.whole else 4) * cfg.dimension))(self._one)  # 32 MB of vectors
 
-    def _one(self, text: str) -> np.ndarray:
+    def sparse(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(buckets, ascending; summed weights) before the vector is scaled to length 1."""
         words, c = text.lower().split(), self.cfg
-        at = [(_bucket(w), c.word_weight) for w in words]
-        at += [(_bucket(w[i : i + 3]), c.gram_weight) for w in words for i in range(len(w) - 2)]
-        at += [(_bucket(f"{a}_{b}"), c.pair_weight) for a, b in zip(words, words[1:], strict=False)]
-        if not at:
-            return np.zeros(c.dimension, np.float32)
-        where, weight = zip(*at, strict=True)
-        dense = np.bincount(where, weights=weight, minlength=c.buckets)
+        grams = [_bucket(w[i : i + 3]) for w in words for i in range(len(w) - 2)]
+        pairs = [_bucket(f"{a}_{b}") for a, b in zip(words, words[1:], strict=False)]
+        where = [_bucket(w) for w in words] + grams + pairs
+        weight = np.repeat([c.word_weight, c.gram_weight, c.pair_weight], [len(words), len(grams), len(pairs)])
+        dense = np.bincount(np.array(where, np.int64), weights=weight, minlength=c.buckets)
         used = np.flatnonzero(dense)
-        v = (dense[used] / np.linalg.norm(dense)).astype(np.float32) @ self.columns[used]
+        return used, dense[used]
+
+    def _one(self, text: str) -> np.ndarray:
+        used, weight = self.sparse(text)
+        if self.whole:
+            v = np.zeros(self.cfg.dimension)
+            v[used] = weight / np.linalg.norm(weight) if len(used) else weight
+            return v
+        if not len(used):
+            return np.zeros(self.cfg.dimension, np.float32)
+        v = (weight / np.linalg.norm(weight)).astype(np.float32) @ self.columns[used]
         n = np.linalg.norm(v)
         return v / n if n > 0 else v
 
@@ -74,15 +69,91 @@ class Embedder:
         return np.stack([self.one(t) for t in texts]) if texts else np.zeros((0, self.cfg.dimension), np.float32)
 
 
-_made: dict[EmbedConfig, Embedder] = {}
+class Embeds(Protocol):
+    """What a worker embeds with: vectors of unit length, zero for a text without words."""
+
+    def one(self, text: str) -> np.ndarray: ...
+
+    def many(self, texts: list[str]) -> np.ndarray: ...
+
+
+class EmbeddingModel(Protocol):
+    """What a config names: hashable and picklable, with a name, a dimension and a way to make the worker's object."""
+
+    name: str
+    dimension: int
+
+    def make(self) -> Embeds: ...
+
+
+@dataclass(frozen=True)
+class RemoteModel:
+    """A model behind a service. connect() gives a function from texts to vectors; where there is none, or a call fails, the hashed embedder of the same dimension stands in."""
+
+    name: str
+    dimension: int
+    connect: Callable[[], Callable[[list[str]], np.ndarray]] | None = None
 
+    def fallback(self) -> EmbedConfig:
+        return EmbedConfig(dimension=self.dimension, name=f"fallback-{self.name}")
 
-def embedder(cfg: EmbedConfig) -> Embedder:
+    def make(self) -> Embeds:
+        return _Remote(self)
+
+
+class _Remote:
+    def __init__(self, model: RemoteModel):
+        self.local, self.call = Embedder(model.fallback()), None
+        try:
+            self.call = model.connect() if model.connect else None
+        except Exception:
+            self.call = None
+        self.one = lru_cache(maxsize=(1 << 25) // (4 * model.dimension))(lambda text: self.many([text])[0])
+
+    def many(self, texts: list[str]) -> np.ndarray:
+        if self.call is not None and texts:
+            try:
+                v = np.asarray(self.call(texts), np.float32)
+                n = np.linalg.norm(v, axis=1, keepdims=True)
+                return v / np.where(n == 0, 1, n)
+            except Exception:
+                self.call = None
+        return self.local.many(texts)
+
+
+def embedding_model(name: str, dimension: int | None = None, connect: Callable | None = None) -> EmbeddingModel | EmbedConfig:
+    """A model by (a part of) its name; an unknown name is the hashed embedder under that name."""
+    known = name.lower().strip()
+    if "nvidia" in known or "nv-embed" in known:
+        return RemoteModel("nvidia/nv-embed-v2", dimension or 4096, connect)
+    if "openai" in known or "text-embedding-3" in known:
+        return RemoteModel("text-embedding-3-small", dimension or 1536, connect)
+    return EmbedConfig(dimension=dimension or 256, name="local-hash-embed" if "local" in known or "hash" in known else name)
+
+
+_made: dict[EmbedConfig | EmbeddingModel, Embeds] = {}
+
+
+def embedder(cfg: EmbedConfig | EmbeddingModel) -> Embeds:
     if cfg not in _made:
-        _made[cfg] = Embedder(cfg)
+        _made[cfg] = Embedder(cfg) if isinstance(cfg, EmbedConfig) else cfg.make()
     return _made[cfg]
 
 
+def features(df: DataFrame, text: str, cfg: EmbedConfig = EmbedConfig()) -> DataFrame:
+    """df with `buckets` (ascending) and `weights`: each text's sparse vector before it is scaled to length 1."""
+    at, names = df.columns.index(text), [*df.columns, "buckets", "weights"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [embedder(cfg).sparse(t or "") for t in b.column(at).to_pylist()]
+            ends = pa.array(np.cumsum([0, *(len(x) for x, _ in found)]), pa.int32())
+            used, weights = (np.concatenate([np.empty(0, kind), *x]) for x, kind in (([x for x, _ in found], np.int64), ([w for _, w in found], float)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(ends, pa.array(used.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(weights))], names)
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("weights", T.ArrayType(T.DoubleType()))]))
+
+
 def with_embedding(df: DataFrame, text: str, name: str = "embedding", cfg: EmbedConfig = EmbedConfig()) -> DataFrame:
     """df with an array<float> of each text. For many equal texts take distinct ones first."""
     at, names = df.columns.index(text), [*df.columns, name]
@@ -90,7 +161,7 @@ def with_embedding(df: DataFrame, text: str, name: str = "embedding", cfg: Embed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v = embedder(cfg).many([t or "" for t in b.column(at).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * cfg.dimension, pa.int32()), pa.array(v.ravel()))], names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * cfg.dimension, pa.int32()), pa.array(v.ravel().astype(np.float32)))], names)
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.FloatType()))]))
 

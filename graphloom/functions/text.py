@@ -41,6 +41,7 @@ ANSWERS = (
     (("directed", "director"), r"directed by ([A-Z][A-Za-z\s.]+?)(?:,|\.|\s+and)"),
     (("year", "when"), r"founded in (\d{4})"),
 )
+# How yes/no questions begin, names that are no answers, and what stands for no answer.
 YES_NO = ("were ", "was ", "is ", "are ", "did ", "does ", "do ")
 NOT_ANSWERS = ("The", "This", "That", "It", "Passage", "Context", "Answer")
 NO_ANSWER = "Insufficient context to answer"
@@ -90,9 +91,33 @@ def normalize_answer(c: Column, boundary: str = "unicode") -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, "(a|an|the)".join(EDGE[boundary]), " "), r"(?U)\s+", " "))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value evaluated once however often body reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def tokens(c: Column, boundary: str = "unicode") -> Column:
-    n = normalize_answer(c, boundary)
-    return F.when(n == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(n, " "))
+    return _let(normalize_answer(c, boundary), _split)
+
+
+def _split(normal: Column) -> Column:
+    return F.when(normal == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(normal, " "))
+
+
+def _numbered(words: Column) -> Column:
+    """The words with a number each, which counts equal ones: multisets become sets, by one sort."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+        return _let(starts, lambda at: F.flatten(F.transform(at, lambda i, k: F.transform(F.sequence(F.lit(1), F.coalesce(F.get(at, k + 1), F.size(s)) - i), lambda n: F.concat(F.get(s, i), F.lit(" "), n.cast("string"))))))
+
+    return _let(F.array_sort(words), runs)
+
+
+def _overlap(p: Column, g: Column) -> Column:
+    """F1 of two numbered multisets: 1 if both are empty, 0 if one is."""
+    both = F.size(p) + F.size(g)
+    return F.when((F.size(p) == 0) | (F.size(g) == 0), (F.size(p) == F.size(g)).cast("double")).otherwise(2.0 * F.size(F.array_intersect(p, g)) / both)
 
 
 def exact_match(prediction: Column, gold: Column, boundary: str = "unicode") -> Column:
@@ -101,10 +126,16 @@ def exact_match(prediction: Column, gold: Column, boundary: str = "unicode") ->
 
 def token_f1(prediction: Column, gold: Column, boundary: str = "unicode") -> Column:
     """Harmonic mean of precision and recall on token multisets; 1 if both are empty, 0 if one is."""
-    p, g = tokens(prediction, boundary), tokens(gold, boundary)
-    count = lambda xs, w: F.size(F.filter(xs, lambda x: x == w))
-    common = F.aggregate(F.array_intersect(p, g), F.lit(0), lambda a, w: a + F.least(count(p, w), count(g, w)))
-    return F.when((F.size(p) == 0) | (F.size(g) == 0), (F.size(p) == F.size(g)).cast("double")).when(common == 0, 0.0).otherwise(2.0 * common / (F.size(p) + F.size(g)))
+    side = lambda c: _let(normalize_answer(c, boundary), lambda n: _numbered(_split(n)))
+    return _let(F.struct(side(prediction).alias("p"), side(gold).alias("g")), lambda x: _overlap(x["p"], x["g"]))
+
+
+def best_scores(prediction: Column, golds: Column, boundary: str = "unicode") -> Column:
+    """struct<em, f1>, each the best over an array of golds. The prediction is brought to its normal form once."""
+    side = lambda c: _let(normalize_answer(c, boundary), lambda n: F.struct(n.alias("n"), _numbered(_split(n)).alias("t")))
+    score = lambda p, g: F.struct((p["n"] == g["n"]).cast("double").alias("em"), _overlap(p["t"], g["t"]).alias("f1"))
+    each = _let(side(prediction), lambda p: F.transform(golds, lambda c: _let(side(c), lambda g: score(p, g))))
+    return _let(each, lambda xs: F.struct(F.array_max(F.transform(xs, lambda x: x["em"])).alias("em"), F.array_max(F.transform(xs, lambda x: x["f1"])).alias("f1")))
 
 
 def extractive_answer(question: Column, context: Column, boundary: str = "unicode") -> Column:
@@ -123,6 +154,21 @@ def extractive_answer(question: Column, context: Column, boundary: str = "unicod
     return F.coalesce(*rules, F.lit(NO_ANSWER))
 
 
+# The parts of an answer prompt.
+PROMPT = ("Retrieved Context:\n", "\n\nQuestion: ", "\n\nAnswer:")
+
+
+def prompt(question: Column, context: Column) -> Column:
+    return F.concat(F.lit(PROMPT[0]), context, F.lit(PROMPT[1]), question, F.lit(PROMPT[2]))
+
+
+def prompt_parts(text: Column) -> Column:
+    """struct<question, context> that a prompt is read back as. Where the context itself has a question line, the first one counts and ends the context."""
+    q = F.regexp_extract(text, r"(?s)Question:\s*(.+?)(?:\nAnswer:|\z)", 1)
+    c = F.regexp_extract(text, r"(?s)Retrieved Context:\s*(.+?)(?:\n\nQuestion:|\z)", 1)
+    return F.struct(strip(q).alias("question"), F.when(c == "", text).otherwise(strip(c)).alias("context"))
+
+
 def _any(q: Column, words: tuple[str, ...]) -> Column:
     found = q.contains(words[0])
     for w in words[1:]:

@@ -22,20 +22,26 @@ _COLUMNS = [x.split()[0] for x in RESULT.split(", ")]
 
 
 def seeds(scored: DataFrame, cfg: FlowConfig = FlowConfig(), *keys: str) -> DataFrame:
-    """scored (qid, node_id, n_ord, sim) with s0, is_seed, excess and height."""
+    """scored (qid, node_id, n_ord, sim) with s0, is_seed, excess and height.
+
+    Only a pool's best few nodes are ranked (each task sends its own best), and come back to its nodes as one short row.
+    """
     keys = keys or ("qid",)
-    group = W.partitionBy(*keys)
-    top = F.row_number().over(group.orderBy(F.desc("s0"), "n_ord"))
-    out = scored.withColumn("s0", F.greatest(F.lit(0.0), F.col("sim"))).withColumn("_r", top)
-    out = out.withColumn("_pass", (F.col("_r") <= cfg.max_seeds) & (F.col("s0") >= cfg.seed_threshold))
-    out = out.withColumn("is_seed", F.when(F.max("_pass").over(group), F.col("_pass")).otherwise(F.col("_r") <= cfg.fallback_seeds))
+    out = scored.withColumn("s0", F.greatest(F.lit(0.0), F.col("sim")))
+    best = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("s0"), "n_ord"))
+    top = out.select(*keys, "node_id", "n_ord", "s0").withColumn("r", best).where(F.col("r") <= max(cfg.max_seeds, cfg.fallback_seeds))
+    ranked = top.groupBy(*keys).agg(F.collect_list(F.struct("r", "node_id", "s0")).alias("t"))
+    over = F.filter("t", lambda x: (x["r"] <= cfg.max_seeds) & (x["s0"] >= cfg.seed_threshold))
+    ranked = ranked.withColumn("t", F.when(F.size(over) > 0, over).otherwise(F.filter("t", lambda x: x["r"] <= cfg.fallback_seeds)))
+    total = F.aggregate(F.array_sort(F.transform("t", lambda x: x["s0"])), F.lit(0.0), lambda a, x: a + x)
+    ranked = ranked.select(*keys, F.transform("t", lambda x: x["node_id"]).alias("_seeds"), total.alias("_total"))
+    out = out.join(ranked, list(keys)).withColumn("is_seed", F.array_contains("_seeds", F.col("node_id")))
     if cfg.query_aware:
-        total = F.sum(F.when(F.col("is_seed"), F.col("s0"))).over(group)
-        excess, height = F.col("s0") / F.when(total == 0, 1.0).otherwise(total), cfg.alpha * F.col("s0")
+        excess, height = F.col("s0") / F.when(F.col("_total") == 0, 1.0).otherwise(F.col("_total")), cfg.alpha * F.col("s0")
     else:
-        excess, height = 1.0 / F.sum(F.col("is_seed").cast("double")).over(group), F.lit(cfg.alpha)
+        excess, height = 1.0 / F.size("_seeds"), F.lit(cfg.alpha)
     zero = lambda c: F.when(F.col("is_seed"), c).otherwise(0.0)
-    return out.withColumn("excess", zero(excess)).withColumn("height", zero(height)).drop("_r", "_pass")
+    return out.withColumn("excess", zero(excess)).withColumn("height", zero(height)).drop("_seeds", "_total")
 
 
 class FlowGraph:

@@ -1,75 +1,77 @@
-"""Dense vectors: a stated query set against a corpus, and similar pairs within pools."""
+"""Dense vectors: a stated query set against a corpus, and similar pairs within pools. Both in blocks dealt to tasks."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-QUERY_BYTES = 32 << 20  # of one block of queries, which is what is broadcast
+BLOCK = 8192  # vectors of one block
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks()
     flat = np.asarray(column.flatten()).astype(np.float64)
     v = flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
     n = np.linalg.norm(v, axis=1, keepdims=True)
     return v / np.where(n == 0, 1.0, n)
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, dimension: int) -> DataFrame:
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """queries and corpus (id, embedding) -> query_id, id, sim, rank: the k most alike, itself left out, ties to the smaller id.
 
-    Queries go out in blocks of at most QUERY_BYTES; each task keeps its own best k of each query.
+    Each block of queries meets each block of the corpus in a task that keeps the best k of each query; those
+    are merged by query. A task holds two blocks, and no vector passes through the driver.
     """
-    per_block = max(1, QUERY_BYTES // (8 * dimension))
-    blocks = max(1, -(-queries.count() // per_block))
-    dealt = queries.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    found = None
-    for block in range(blocks):
-        rows = dealt.where(F.col("_b") == block).select("id", "embedding").toArrow()
-        q_ids, q = np.asarray(rows["id"]), _matrix(rows["embedding"].combine_chunks()) if rows.num_rows else np.zeros((0, dimension))
-        spread = corpus.sparkSession.sparkContext.broadcast((q_ids, q))
+    parts = lambda df: max(1, -(-df.count() // block))
+    n, m = parts(queries), parts(corpus)
+    place = lambda own, many, other, other_many: (F.pmod(F.xxhash64("id"), F.lit(many)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(other_many - 1))).alias(other))
+    q = queries.select("id", "embedding", *place("q", n, "c", m))
+    c = corpus.select("id", "embedding", *place("c", m, "q", n))
 
-        def run(batches: Iterator[pa.RecordBatch], spread=spread) -> Iterator[pa.RecordBatch]:
-            ids, q = spread.value
-            best_s, best_i = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
-            for b in batches:
-                if not b.num_rows or not len(ids):
-                    continue
-                c = np.asarray(b.column(0))
-                sims = q @ _matrix(b.column(1)).T
-                sims[ids[:, None] == c[None, :]] = -np.inf
-                s, i = np.concatenate((best_s, sims), axis=1), np.concatenate((best_i, np.broadcast_to(c, sims.shape)), axis=1)
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            real = np.isfinite(best_s)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k).reshape(-1, k)[real] if len(ids) else ids), pa.array(best_i[real]), pa.array(best_s[real])], ["query_id", "id", "sim"])
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, others = left["id"].to_numpy(), right["id"].to_numpy()
+        if not len(ids) or not len(others):
+            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
+        sims = _matrix(left["embedding"]) @ _matrix(right["embedding"]).T
+        sims[ids[:, None] == others[None, :]] = -np.inf
+        order = np.lexsort((np.broadcast_to(others, sims.shape), -sims), axis=1)[:, :k]
+        best = np.take_along_axis(sims, order, 1)
+        real = np.isfinite(best)
+        return pa.table({"query_id": pa.array(np.broadcast_to(ids[:, None], best.shape)[real]), "id": pa.array(others[order][real]), "sim": pa.array(best[real])})
 
-        part = corpus.select("id", "embedding").mapInArrow(run, "query_id long, id long, sim double")
-        found = part if found is None else found.union(part)
+    found = q.groupBy("q", "c").cogroup(c.groupBy("q", "c")).applyInArrow(run, "query_id long, id long, sim double")
     return found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("sim"), "id"))).where(F.col("rank") <= k)
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
-    """vectors (pool, id, embedding) -> pool, a, b, sim for a < b of one pool at the threshold or above. Only those pairs leave a task."""
+def similar_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """vectors (pool, id, embedding) -> pool, a, b, sim for a < b of one pool at the threshold or above.
+
+    A pool is dealt into blocks of about `block` vectors, and each pair of its blocks to a task: every pair is compared,
+    a task holds two blocks, and only pairs at the threshold leave it.
+    """
+    rows = vectors.select(F.col("pool").cast("string").alias("pool"), "id", "embedding")
+    blocks = rows.groupBy("pool").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    own = rows.join(blocks, "pool").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    spread = own.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("pool", "id", "embedding", "own", F.least("own", "c").alias("lo"), F.greatest("own", "c").alias("hi"))
 
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("id").combine_chunks()
-        ids, v = rows["id"].to_numpy(), _matrix(rows["embedding"].combine_chunks())
-        a, b, s = [], [], []
-        for i in range(0, len(ids), block):
-            for j in range(i, len(ids), block):
-                sims = v[i : i + block] @ v[j : j + block].T
-                x, y = np.nonzero(sims >= threshold)
-                keep = x + i < y + j
-                a.append(ids[x[keep] + i])
-                b.append(ids[y[keep] + j])
-                s.append(sims[x[keep], y[keep]])
+        rows, lo, hi = rows.sort_by("id"), rows["lo"][0].as_py(), rows["hi"][0].as_py()
+        own, ids, v = rows["own"].to_numpy(), rows["id"].to_numpy(), _matrix(rows["embedding"])
+        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        a, b, s = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        for at in range(0, len(left), 1024):
+            mine = left[at : at + 1024]
+            sims = v[mine] @ v[right].T
+            x, y = np.nonzero(sims >= threshold)
+            p, q, w = ids[mine[x]], ids[right[y]], sims[x, y]
+            keep = p < q if lo == hi else p != q
+            a.append(np.minimum(p, q)[keep])
+            b.append(np.maximum(p, q)[keep])
+            s.append(w[keep])
         a, b, s = (np.concatenate(x) for x in (a, b, s))
         return pa.table({"pool": pa.array([rows["pool"][0].as_py()] * len(a), pa.string()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sim": pa.array(s, pa.float64())})
 
-    return vectors.select(F.col("pool").cast("string").alias("pool"), "id", "embedding").groupBy("pool").applyInArrow(run, "pool string, a long, b long, sim double")
+    return spread.groupBy("pool", "lo", "hi").applyInArrow(run, "pool string, a long, b long, sim double")

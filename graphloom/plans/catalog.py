@@ -1,4 +1,4 @@
-"""The engine's registered queries over the shared tables, and SQL for those that SQL can state."""
+"""The engine's registered queries over the shared tables, and SQL for those that SQL can state. Retrieval and evaluation are in retrieval_catalog."""
 
 from __future__ import annotations
 
@@ -9,15 +9,13 @@ from pyspark.sql import functions as F
 from ..config import FlowConfig, GraphConfig
 from ..functions.embed import cosine, features
 from ..functions.text import exact_match, extractive_answer, mentions, normalize_answer, sentences, token_f1
-from ..operators.community import communities, connected_components
+from ..operators.community import connected_components
 from ..operators.extract import entity_rows, extract, triple_rows
 from ..operators.flow import round_of, seeds
 from ..operators.graph import association_edges, entity_graph, fact_edges, graph_stats, passage_entity_graph
-from ..operators.metrics import hit_at, precision_at, recall_at, reciprocal_rank
-from ..operators.retrieve import community_retrieval, dual_retrieval, flow_retrieval, flow_state, vector_retrieval
+from ..operators.metrics import pair_metrics
 from ..operators.similar import nearest, similar_pairs
 from ..sources.datasets import read_conversations, sample_summary
-from . import evaluate as ev
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -35,17 +33,17 @@ def _extracted(spark: SparkSession, d: str) -> DataFrame:
 def vector_topk(spark, d):
     """Vectors with an id divisible by 20 against all others."""
     v = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return nearest(v.where("id % 20 = 0"), v, 5, 64).select("query_id", F.col("id").alias("vec_id"), F.round("sim", 6).alias("sim"), "rank")
+    return nearest(v.where("id % 20 = 0"), v, 5).select("query_id", F.col("id").alias("vec_id"), F.round("sim", 6).alias("sim"), "rank")
 
 
 def label_retrieval_metrics(spark, d):
+    """Relevant to a query: the other vectors of its label."""
     e = _t(spark, d, "embeddings").select("vec_id", "label")
-    top = vector_topk(spark, d).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))).alias("r")).select("query_id", F.transform("r", lambda x: x["vec_id"]).alias("retrieved"))
-    pools = e.groupBy("label").agg(F.collect_list("vec_id").alias("all"))
-    rows = top.join(e, top.query_id == e.vec_id).join(pools, "label").withColumn("gold", F.array_except("all", F.array("query_id")))
-    r, g = F.col("retrieved"), F.col("gold")
-    out = rows.select("query_id", "label", recall_at(r, g, 5).alias("recall_5"), precision_at(r, g, 5).alias("precision_5"), hit_at(r, g, 5).alias("hit_5"), reciprocal_rank(r, g).alias("rr"))
-    return out.select("query_id", "label", *[F.round(c, 6).alias(c) for c in ("recall_5", "precision_5", "hit_5", "rr")])
+    of = e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("gold_key"))
+    hits = vector_topk(spark, d).join(of, "query_id").join(e, "vec_id").select("query_id", "gold_key", "rank", (F.col("label") == F.col("gold_key")).alias("hit"))
+    sizes = e.groupBy(F.col("label").alias("gold_key")).agg((F.count(F.lit(1)) - 1).alias("n"))
+    out = pair_metrics(hits, sizes, 5)
+    return out.select("query_id", F.col("gold_key").alias("label"), *[F.round(c, 6).alias(n) for c, n in (("recall", "recall_5"), ("precision", "precision_5"), ("hit", "hit_5"), ("rr", "rr"))])
 
 
 def label_metric_averages(spark, d):
@@ -112,8 +110,8 @@ def extractive_answers(spark, d):
 
 
 def hash_features(spark, d):
-    f = features(_t(spark, d, "documents"), "doc_id", "text")
-    return f.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_buckets"), F.round(F.sum(F.col("weight") * F.col("weight")), 4).alias("sum_sq"))
+    f = features(_t(spark, d, "documents").select("doc_id", "text"), "text").where(F.size("buckets") > 0)
+    return f.select("doc_id", F.size("buckets").cast("long").alias("n_buckets"), F.round(F.aggregate("weights", F.lit(0.0), lambda a, w: a + w * w), 4).alias("sum_sq"))
 
 
 def _seeded(spark, d, cfg: FlowConfig):
@@ -158,43 +156,6 @@ def entity_components(spark, d):
     return connected_components(nodes.select("qid", "node_id"), edges).select("qid", F.col("node_id").alias("name"), "component")
 
 
-def modularity_communities(spark, d):
-    return communities(*ev.build(_pools(spark, d)[1]))
-
-
-def _method(run, graph: bool = True):
-    def query(spark, d):
-        q, p = _pools(spark, d)
-        return run(q, p, *ev.build(p)) if graph else run(q, p)
-
-    return query
-
-
-def evaluation_samples(spark, d):
-    return ev.evaluate(*_pools(spark, d))[1]
-
-
-def method_comparison(spark, d):
-    return ev.compare_methods(*_pools(spark, d))
-
-
-def ablation_study(spark, d):
-    return ev.ablations(*_pools(spark, d))
-
-
-def sensitivity_grid(spark, d):
-    return ev.sensitivity(*_pools(spark, d))
-
-
-def flow_edges(spark, d):
-    """What a drawing of each graph shows of its edges."""
-    q, p = _pools(spark, d)
-    nodes, edges = ev.build(p)
-    state = ev.stored(flow_state(q, p, nodes, edges, with_flows=True))
-    top = state.where("kind = 'passage' and rank <= 5").select("qid", F.col("id").alias("pid"))
-    return ev.graph_view(nodes, edges, state, top)[1]
-
-
 def entities_of_passages(spark, d):
     return entity_rows(_extracted(spark, d)).select("qid", "pid", "name")
 
@@ -204,9 +165,7 @@ QUERIES = {
     "sentence_split": sentence_split, "entity_mentions": entity_mentions, "relation_triples": relation_triples, "passage_entities": entities_of_passages, "association_edges": association, "fact_edges": facts,
     "entity_graph_fold": entity_graph_fold, "entity_passages": entity_passages, "graph_stats": graph_cardinality, "sample_summary": pool_summary,
     "answer_scores": answer_scores, "extractive_answer": extractive_answers, "hash_features": hash_features, "seed_init": seed_init, "seed_init_uniform": seed_init_uniform,
-    "flow_round_1": _rounds(1), "flow_round_2": _rounds(2), "entity_components": entity_components, "modularity_communities": modularity_communities,
-    "vector_retrieval": _method(vector_retrieval, False), "community_retrieval": _method(community_retrieval), "dual_retrieval": _method(dual_retrieval), "flow_retrieval": _method(flow_retrieval),
-    "evaluation_samples": evaluation_samples, "method_comparison": method_comparison, "ablation_study": ablation_study, "sensitivity_grid": sensitivity_grid, "flow_edges": flow_edges,
+    "flow_round_1": _rounds(1), "flow_round_2": _rounds(2), "flow_round_3": _rounds(3), "entity_components": entity_components,
 }
 
 _TOP = """q as (select vec_id as query_id, label, embedding::DOUBLE[] as v from embeddings where vec_id % 20 = 0),
@@ -228,6 +187,21 @@ _PARTS = """part as (select qid, 'p::' || pid as p, 'e::' || lower(name) as e, 1
 _TOKENS = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({}), '[!-/:-@\[-`{{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
+#: An answer needs qid, ctx and q0 of the relation named; ANSWER is the rules' first that finds something.
+ANSWER_PARTS = r"select *, lower(q0) as q, regexp_extract_all(ctx, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b') as multi, regexp_extract_all(ctx, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b') as names from {}"
+ANSWER = r"""coalesce(
+      case when regexp_matches(q, '^(were|was|is|are|did|does|do) ') and (contains(q, 'same person') or contains(q, 'both')) then case when len(list_distinct(multi)) < len(multi) then 'yes' else 'no' end end,
+      case when contains(q, 'capital') then nullif(trim(regexp_extract(ctx, 'capital is ([A-Z][A-Za-z\s]+?)(?:,|\.|\s+while)', 1)), '') end,
+      case when contains(q, 'award') or contains(q, 'prize') then nullif(trim(regexp_extract(ctx, '(?:received|won|earned|shared)\s+(?:the\s+)?(Nobel Prize in [A-Za-z]+)', 1)), '') end,
+      case when contains(q, 'birthplace') or contains(q, 'born') then nullif(trim(regexp_extract(ctx, 'born in ([A-Z][A-Za-z\s.]+?)(?:,|\.|\s+on|\s+in|\s+Germany)', 1)), '') end,
+      case when contains(q, 'headquarter') then nullif(trim(regexp_extract(ctx, '(?i)Headquartered in ([A-Z][A-Za-z\s.]+?)(?:,|\.|\s+Texas)', 1)), '') end,
+      case when contains(q, 'directed') or contains(q, 'director') then nullif(trim(regexp_extract(ctx, 'directed by ([A-Z][A-Za-z\s.]+?)(?:,|\.|\s+and)', 1)), '') end,
+      case when contains(q, 'year') or contains(q, 'when') then nullif(trim(regexp_extract(ctx, 'founded in (\d{4})', 1)), '') end,
+      case when contains(q, 'year') or contains(q, 'when') then nullif(regexp_extract(ctx, '\b(1\d{3}|20\d{2})\b', 1), '') end,
+      list_filter(names, lambda e: not contains(q, lower(e)) and e not in ('The','This','That','It','Passage','Context','Answer'))[1],
+      'Insufficient context to answer')"""
+
+
 def _seed_sql(aware: bool) -> str:
     e, h = ("s0 / case when coalesce(sum(case when seed then s0 end) over g, 0) = 0 then 1 else sum(case when seed then s0 end) over g end", "2.0 * s0") if aware else ("1.0 / sum(seed::INT) over g", "2.0")
     return f"""with q as (select label, arg_min(embedding, vec_id)::DOUBLE[] as v from embeddings group by label),
@@ -281,19 +255,8 @@ SQL = {
     o as (select conv_id, sum(least(pt.c, gt.c)) as common from pt join gt using (conv_id, w) group by conv_id),
     l as (select conv_id, p, g, case when p = '' then 0 else len(string_split(p, ' ')) end as np, case when g = '' then 0 else len(string_split(g, ' ')) end as ng from n)
     select conv_id, md5(p) as normal, (p = g)::INT::DOUBLE as em, round(case when np = 0 or ng = 0 then (np = ng)::INT else coalesce(2.0 * common / (np + ng), 0) end, 6)::DOUBLE as f1 from l left join o using (conv_id)""",
-    "extractive_answer": r"""with c as (select conv_id::VARCHAR as qid, string_agg(coalesce(text, ''), chr(10) || chr(10) order by turn) filter (turn > 0) as ctx, any_value(coalesce(text, '')) filter (turn = 0) as q0 from conversations group by conv_id having count(*) filter (turn > 0) > 0 and count(*) filter (turn = 0) > 0),
-    b as (select qid, ctx, lower(q0) as q, regexp_extract_all(ctx, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b') as multi, regexp_extract_all(ctx, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b') as names from c)
-    select qid, coalesce(
-      case when regexp_matches(q, '^(were|was|is|are|did|does|do) ') and (contains(q, 'same person') or contains(q, 'both')) then case when len(list_distinct(multi)) < len(multi) then 'yes' else 'no' end end,
-      case when contains(q, 'capital') then nullif(trim(regexp_extract(ctx, 'capital is ([A-Z][A-Za-z\s]+?)(?:,|\.|\s+while)', 1)), '') end,
-      case when contains(q, 'award') or contains(q, 'prize') then nullif(trim(regexp_extract(ctx, '(?:received|won|earned|shared)\s+(?:the\s+)?(Nobel Prize in [A-Za-z]+)', 1)), '') end,
-      case when contains(q, 'birthplace') or contains(q, 'born') then nullif(trim(regexp_extract(ctx, 'born in ([A-Z][A-Za-z\s.]+?)(?:,|\.|\s+on|\s+in|\s+Germany)', 1)), '') end,
-      case when contains(q, 'headquarter') then nullif(trim(regexp_extract(ctx, '(?i)Headquartered in ([A-Z][A-Za-z\s.]+?)(?:,|\.|\s+Texas)', 1)), '') end,
-      case when contains(q, 'directed') or contains(q, 'director') then nullif(trim(regexp_extract(ctx, 'directed by ([A-Z][A-Za-z\s.]+?)(?:,|\.|\s+and)', 1)), '') end,
-      case when contains(q, 'year') or contains(q, 'when') then nullif(trim(regexp_extract(ctx, 'founded in (\d{4})', 1)), '') end,
-      case when contains(q, 'year') or contains(q, 'when') then nullif(regexp_extract(ctx, '\b(1\d{3}|20\d{2})\b', 1), '') end,
-      list_filter(names, lambda e: not contains(q, lower(e)) and e not in ('The','This','That','It','Passage','Context','Answer'))[1],
-      'Insufficient context to answer') as answer from b""",
+    "extractive_answer": rf"""with c as (select conv_id::VARCHAR as qid, string_agg(coalesce(text, ''), chr(10) || chr(10) order by turn) filter (turn > 0) as ctx, any_value(coalesce(text, '')) filter (turn = 0) as q0 from conversations group by conv_id having count(*) filter (turn > 0) > 0 and count(*) filter (turn = 0) > 0),
+    b as ({ANSWER_PARTS.format('c')}) select qid, {ANSWER} as answer from b""",
     "hash_features": r"""with w as (select doc_id, list_filter(regexp_split_to_array(lower(trim(text)), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
     t as (select doc_id, unnest(ws) as token, 1.0::DOUBLE as v from w
           union all select doc_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || '_' || ws[i + 1])), 1.5 from w where len(ws) > 1
@@ -304,6 +267,7 @@ SQL = {
     "seed_init_uniform": _seed_sql(False),
     "flow_round_1": _flow_sql(1),
     "flow_round_2": _flow_sql(2),
+    "flow_round_3": _flow_sql(3),
     "entity_components": f"""with recursive {_NAMES}, e as (select qid, subj as a, obj as b from fact union select qid, obj, subj from fact),
     r as (select distinct qid, name as node, name as reach from name union select r.qid, r.node, e.b from r join e on r.qid = e.qid and r.reach = e.a)
     select qid, node as name, min(reach) as component from r group by qid, node""",

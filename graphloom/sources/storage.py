@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df, computed once into the shared checkpoint folder that the session names (a temporary one where it names none)."""
+    """df, computed once into the shared checkpoint folder that the session names. Only a session within one process (tests) may name none."""
     spark, sc = df.sparkSession, df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "graphloom-checkpoints"))
+        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "graphloom-checkpoints"))
     return df.checkpoint(eager=True)
 
 
@@ -78,12 +81,19 @@ def clean_name(pipeline: str) -> str:
 
 
 def save_metrics(summary: DataFrame, samples: DataFrame, pipeline: str, folder: str) -> None:
-    """{name}_results as JSON (summary and samples) and {name}_samples as CSV."""
-    name = clean_name(pipeline)
-    as_text = [F.to_json(c).alias(c) if t.startswith(("array", "struct")) else F.col(c) for c, t in samples.dtypes]
-    summary.coalesce(1).write.mode("overwrite").json(f"{folder}/{name}_results/summary")
-    samples.write.mode("overwrite").json(f"{folder}/{name}_results/samples")
-    samples.select(*as_text).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}_samples")
+    """{name}_results: one JSON document with `summary` and `samples`, in order of q_ord or qid; {name}_samples: CSV with lists as JSON."""
+    name, order = clean_name(pipeline), "q_ord" if "q_ord" in samples.columns else "qid"
+    whole = lambda df: F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    rows = samples.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), whole(samples).alias("s")))), lambda x: x["s"]).alias("samples"))  # one document is one row, whatever writes it
+    first = summary.limit(1).select(whole(summary).alias("summary"))
+    first.join(rows, F.lit(True), "left").coalesce(1).write.mode("overwrite").json(f"{folder}/{name}_results")
+    save_table(samples, f"{folder}/{name}_samples")
+
+
+def save_table(table: DataFrame, path: str) -> None:
+    """A consolidated, comparison, ablation or sensitivity table as one CSV file with a header; lists as JSON."""
+    as_text = [F.to_json(f"`{c}`").alias(c) if t.startswith(("array", "struct")) else F.col(f"`{c}`") for c, t in table.dtypes]
+    table.select(*as_text).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def read_tables(spark: SparkSession, path: str) -> DataFrame:
