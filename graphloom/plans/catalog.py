@@ -16,6 +16,7 @@ from ..operators.graph import association_edges, entity_graph, fact_edges, graph
 from ..operators.metrics import pair_metrics
 from ..operators.similar import nearest, similar_pairs
 from ..sources.datasets import read_conversations, sample_summary
+from ..sources.storage import spread
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -57,16 +58,16 @@ def synonymy_pairs(spark, d):
 
 
 def sentence_split(spark, d):
-    return _t(spark, d, "documents").select("doc_id", F.posexplode(sentences(F.coalesce("text", F.lit("")))).alias("s_ord", "sentence"))
+    return spread(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(sentences(F.coalesce("text", F.lit("")))).alias("s_ord", "sentence"))
 
 
 def entity_mentions(spark, d):
-    return _t(spark, d, "documents").select("doc_id", F.explode(mentions(F.col("text"), "ascii")).alias("name")).groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("n"))
+    return spread(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.explode(mentions(F.col("text"), "ascii")).alias("name")).groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
 def relation_triples(spark, d):
     """Triples of documents under their source's name; without a relation, the source's links to names."""
-    docs = _t(spark, d, "documents").select(F.col("source").alias("qid"), F.col("doc_id").alias("p_ord"), F.col("doc_id").cast("string").alias("pid"), F.col("source").alias("title"), "text")
+    docs = spread(_t(spark, d, "documents").select("doc_id", "source", "text")).select(F.col("source").alias("qid"), F.col("doc_id").alias("p_ord"), F.col("doc_id").cast("string").alias("pid"), F.col("source").alias("title"), "text")
     return triple_rows(extract(docs, "ascii")).select(F.col("p_ord").alias("doc_id"), "subj", "rel", "obj")
 
 
@@ -110,7 +111,7 @@ def extractive_answers(spark, d):
 
 
 def hash_features(spark, d):
-    f = features(_t(spark, d, "documents").select("doc_id", "text"), "text").where(F.size("buckets") > 0)
+    f = features(spread(_t(spark, d, "documents").select("doc_id", "text")), "text").where(F.size("buckets") > 0)
     return f.select("doc_id", F.size("buckets").cast("long").alias("n_buckets"), F.round(F.aggregate("weights", F.lit(0.0), lambda a, w: a + w * w), 4).alias("sum_sq"))
 
 

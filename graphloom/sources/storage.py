@@ -23,6 +23,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks at least as the cluster runs at once: a small file is one split, however long its rows take."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 class GraphStore:
     """Graphs as Parquet, a folder for each dataset and set of build parameters; so graphs of other parameters are never reused."""
 
