@@ -175,10 +175,9 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with docs' own columns. A doc_id has one verdict: kept only if all its rows are."""
-    verdict = judge(docs.select("doc_id", "text")).groupBy(F.col("doc_id").alias("_id")).agg(F.bool_and("kept").alias("_kept")).where("_kept")
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"))
-    return row.join(verdict, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi").select("_row.*")
+    """The rows of docs that the rules keep, with docs' own columns. No row shuffles: each is stored with its votes and filtered by their posterior."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("text"))
+    return _judged(stored(voted(rows, ("_row",)).select("_row", "pattern", "base_failed"))).where("kept").select("_row.*")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

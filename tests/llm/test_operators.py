@@ -150,7 +150,27 @@ def test_packing(awkward, nothing):
             assert offset == at
             at += n
         assert at <= 4096
-    assert packing.pack_documents(nothing).count() == 0
+    assert packing.pack_documents(nothing).count() == 0 and packing.certificate(packing.pack_documents(nothing)) == (0, 0)
+
+
+def test_sequences_used_are_near_the_bound(spark):
+    """Many partitions, repacked: within two in a hundred of what any packing needs."""
+    rng = np.random.default_rng(12)
+    sizes = np.concatenate([rng.integers(1, 4097, 2000), rng.integers(1, 600, 6000), np.full(500, 1400)])
+    pieces = spark.createDataFrame([(i, 0, 0, int(n), i) for i, n in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    used, bound = packing.certificate(packing.pack(pieces, per_task=500))
+    assert bound <= used <= 1.02 * bound and bound >= -(-int(sizes.sum()) // 4096)
+
+
+def test_words_are_encoded_alike_when_tables_are_full(monkeypatch):
+    monkeypatch.setattr(packing, "WORDS_KEPT", 20)
+    monkeypatch.setattr(packing, "PARTS_KEPT", 10)
+    rng = np.random.default_rng(3)
+    docs = [" ".join(f"word{x}," for x in rng.integers(0, 60, 40)) for _ in range(50)]
+    small, large = packing.Encoder(packing.tokenizer_file()), packing.Encoder.of(packing.tokenizer_file())
+    for k in range(0, 50, 5):
+        assert list(small.encode(docs[k : k + 5])) == list(large.encode(docs[k : k + 5]))
+    assert len(small.words) + len(small.old_words) < 200
 
 
 def test_bounds_and_best_fit():
@@ -441,17 +461,3 @@ def test_warc(spark, nothing, tmp_path):
         back = warc.load(spark, str(tmp_path / f"w{gz}"))
         assert back.exceptAll(every).count() == 0 and every.exceptAll(back).count() == 0
     assert warc.derive(warc.responses(pages.limit(0))).count() == 0
-
-
-def test_pipeline_stages(spark, awkward):
-    import corpus_pipeline
-
-    docs = awkward.select("doc_id", "text", "lang", "source", "n_chars")
-    for given in (docs, docs.limit(0)):
-        now = given
-        for name, stage in corpus_pipeline.STAGES:
-            out = stage(spark, now, "")
-            if name != "packing":
-                assert out.columns == docs.columns
-            out.count()
-            now = out if name != "packing" else now
