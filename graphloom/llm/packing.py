@@ -7,8 +7,9 @@ at its bound hands on its emptiest bin only. Those pieces meet in partitions a s
 in number and are packed again, until there is one partition or the number no longer
 falls. Only (doc_id, piece, start, length, crc) rows shuffle, never tokens.
 
-Tokens of a word don't depend on its neighbours (the tokenizer drops white space), so
-each task encodes a word once and keeps it in a bounded table.
+Tokens of a word don't depend on its neighbours (the tokenizer drops white space), so a worker
+encodes a word once and keeps it in a bounded table. A full table becomes the old one, from which
+words that occur again are taken over: common words stay, rare ones go.
 
 Defined results: a null or empty text is the closing id alone; repeated rows are packed
 one by one; a null doc_id is kept; an empty table gives no rows; other columns aren't
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import stored, table, texts
 
 LENGTH, CLOSE, PER_TASK = 4096, 1, 32768
-WORDS_KEPT, PARTS_KEPT = 1_000_000, 600_000  # some 200 bytes each
+WORDS_KEPT, PARTS_KEPT = 300_000, 200_000  # of some 200 bytes each, in each of two generations: 200 MB a worker at most
 #: Chunks of these characters alone are in composed form, and lower-casing keeps their number of letters.
 _PLAIN = regex.compile("[!-~¡-įı-ſ]+")
 
@@ -60,10 +61,14 @@ class Encoder:
         self.part.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
-        self.split = regex.compile(made["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        pattern = made["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.split, self.runs = regex.compile(pattern), pattern.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")  # runs: letters alone are one part
         self.special = [x["content"] for x in made["added_tokens"]]
+        self.mark = None if not self.special else self.special[0][0] if len({x[0] for x in self.special}) == 1 else ""  # what every special token begins with
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.old_words: dict[bytes, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -71,19 +76,34 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    def _parts(self, c: str) -> tuple[str, ...] | list[str]:
+        if self.runs:
+            if c.isalpha():
+                return (c,)
+            if c[-1] in ".,;:!?" and c[:-1].isalpha():
+                return c[:-1], c[-1]
+        return self.split.findall(c)
+
     def _learn(self, new: list[bytes]) -> None:
+        chars = b"\n".join(new).decode().split("\n") if new else []
+        special, mark, clean = self.special, self.mark, _PLAIN.fullmatch("".join(chars)) is not None
         plain, odd = [], []
-        for w in new:
-            c = w.decode()
-            if _PLAIN.fullmatch(c) and not any(s in c for s in self.special):
-                plain.append((w, self.split.findall(c.lower())))
+        for w, c in zip(new, chars, strict=True):
+            if (clean or _PLAIN.fullmatch(c)) and not (mark is not None and mark in c and any(x in c for x in special)):
+                plain.append((w, self._parts(c.lower())))
             else:
                 odd.append((w, c))
-        parts = list({p for _, ps in plain for p in ps if p not in self.parts})
-        for p, e in zip(parts, self.part.encode_batch_fast(parts, add_special_tokens=False), strict=True):
-            self.parts[p] = array("I", e.ids).tobytes()
+        parts = self.parts
+        fresh = []
+        for p in {p for _, ps in plain for p in ps if p not in parts}:
+            if p in self.old_parts:
+                parts[p] = self.old_parts[p]
+            else:
+                fresh.append(p)
+        for p, e in zip(fresh, self.part.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+            parts[p] = array("I", e.ids).tobytes()
         for w, ps in plain:
-            self.words[w] = self.parts[ps[0]] if len(ps) == 1 else b"".join([self.parts[p] for p in ps])
+            self.words[w] = parts[ps[0]] if len(ps) == 1 else b"".join([parts[p] for p in ps])
         for (w, _), e in zip(odd, self.whole.encode_batch([c for _, c in odd], add_special_tokens=False), strict=True):
             self.words[w] = array("I", e.ids).tobytes()
 
@@ -96,11 +116,17 @@ class Encoder:
                 split.append(found[at].encode().split())
                 size += len(found[at])
                 at += 1
-            if len(self.words) > WORDS_KEPT or len(self.parts) > PARTS_KEPT:
-                self.words.clear()
-                self.parts.clear()
-            known = self.words
-            self._learn(list({w for ws in split for w in ws if w not in known}))
+            if len(self.words) > WORDS_KEPT:
+                self.old_words, self.words = self.words, {}
+            if len(self.parts) > PARTS_KEPT:
+                self.old_parts, self.parts = self.parts, {}
+            known, old, new = self.words, self.old_words, []
+            for w in {w for ws in split for w in ws if w not in known}:
+                if w in old:
+                    known[w] = old[w]
+                else:
+                    new.append(w)
+            self._learn(new)
             for ws in split:
                 yield b"".join([known[w] for w in ws])
 
@@ -129,7 +155,11 @@ def cut(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataF
 
 def lower_bound(sizes: np.ndarray, length: int) -> int:
     """The least bins that dual feasible functions allow: above length - x a piece fills a bin, below x it counts nothing."""
-    count = np.bincount(sizes, minlength=length + 1)
+    return _bound(np.bincount(sizes, minlength=length + 1), length)
+
+
+def _bound(count: np.ndarray, length: int) -> int:
+    """count: how many pieces there are of each size."""
     mass = np.concatenate(([0], np.cumsum(count * np.arange(length + 1))))
     number = np.concatenate(([0], np.cumsum(count)))
     x = np.arange(length // 2 + 1)
@@ -199,6 +229,14 @@ def pack(pieces: DataFrame, length: int = LENGTH, per_task: int = PER_TASK) -> D
         parts = fewer
 
 
+def certificate(packed: DataFrame, length: int = LENGTH) -> tuple[int, int]:
+    """(sequences used, the fewest that any packing of the same pieces can use, by dual feasible functions over all of them)."""
+    count = np.zeros(length + 1, np.int64)
+    for size, n in packed.groupBy("length").agg(F.count(F.lit(1))).collect():  # a row for each length
+        count[size] = n
+    return packed.select("sequence_id").distinct().count(), _bound(count, length)
+
+
 def sequences(docs: DataFrame, packed: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
     """The packed sequences themselves: sequence_id, ids (at most `length`). doc_id is a key of docs here."""
     path = tokenizer_file(path)
