@@ -441,7 +441,42 @@ def test_licenses(spark, awkward, nothing):
     assert got[1, "Apache-2.0-header"] == 1.0 and got[3, "MIT"] == 1.0 and not {i for i, _ in got} & {4, 5, 6}
     assert got.get((2, "Apache-2.0-header"), 1.0) >= 0.8
     assert licenses.scan(nothing).count() == 0
-    licenses.scan(awkward).count()
+    assert licenses.scan(awkward).count() == 0
+
+
+def test_licenses_against_brute_force(spark):
+    """Templates in whole, with words changed and cut short, in long texts; from a table, in one pass and in many."""
+    rng = np.random.default_rng(17)
+    words = lambda t: [x for x in re.split("[^a-z0-9]+", t.lower()) if x]
+    filler = lambda n: " ".join(f"f{x}" for x in rng.integers(0, 9999, n))
+    rows = []
+    for i, (_, t) in enumerate(licenses.TEMPLATES):
+        w = t.split()
+        for j, changed in enumerate((0, 1, max(1, len(w) // 12), max(1, len(w) // 5))):
+            own = list(w)
+            for x in rng.choice(len(w), min(changed, len(w)), replace=False):
+                own[x] = "changed"
+            rows.append((10 * i + j, f"{filler(int(rng.integers(0, 90)))} {' '.join(own)} {filler(int(rng.integers(0, 90)))}"))
+        rows.append((10 * i + 4, " ".join(w[: len(w) // 2])))
+    rows += [(9000, "// SPDX-License-Identifier: MIT\nx\n# spdx-license-identifier:GPL-2.0-or-later\nSPDX-License-Identifier: MIT"), (9001, "SPDX-License-Identifier: "), (9000, "again SPDX-License-Identifier: MIT")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = {}
+    for i, t in rows:
+        w = words(t)
+        for name, template in licenses.TEMPLATES:
+            v = words(template)
+            known = {tuple(v[x : x + 5]) for x in range(len(v) - 4)}
+            width = 1 << (len(known) - 1).bit_length()
+            here = [tuple(w[x : x + 5]) for x in range(len(w) - 4)]
+            share = max((len(known & set(here[max(0, s) : s + 2 * width])) / len(known) for s in range(-width, len(here), width)), default=0)
+            if share >= 0.8:
+                expected[i, name] = round(share, 9)
+    expected |= {(9000, "MIT"): 1.0, (9000, "GPL-2.0-or-later"): 1.0}
+    listed = spark.createDataFrame(list(licenses.TEMPLATES), "license string, text string")
+    for most in (licenses.MOST_LITERALS, 400):
+        got = {(r.doc_id, r.license): r for r in licenses.scan(docs, listed, most=most).collect()}
+        assert {k: round(r.containment, 9) for k, r in got.items()} == expected
+        assert got[9000, "MIT"].windows == 3 and got[9000, "MIT"].first_word is None
 
 
 def test_warc(spark, nothing, tmp_path):
