@@ -87,12 +87,16 @@ def clean_name(pipeline: str) -> str:
 
 
 def save_metrics(summary: DataFrame, samples: DataFrame, pipeline: str, folder: str) -> None:
-    """{name}_results: one JSON document with `summary` and `samples`, in order of q_ord or qid; {name}_samples: CSV with lists as JSON."""
+    """{name}_results: one JSON document with `summary` (of one method and dataset) and `samples`, in order of q_ord or qid; {name}_samples: CSV with lists as JSON.
+
+    A document is one row of one task: for evaluations of some thousands of questions. `save_table` has no such bound.
+    """
+    if summary.limit(2).count() != 1:
+        raise ValueError("a results document is of one method and one dataset")
     name, order = clean_name(pipeline), "q_ord" if "q_ord" in samples.columns else "qid"
     whole = lambda df: F.struct(*[F.col(f"`{c}`") for c in df.columns])
     rows = samples.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), whole(samples).alias("s")))), lambda x: x["s"]).alias("samples"))  # one document is one row, whatever writes it
-    first = summary.limit(1).select(whole(summary).alias("summary"))
-    first.join(rows, F.lit(True), "left").coalesce(1).write.mode("overwrite").json(f"{folder}/{name}_results")
+    summary.select(whole(summary).alias("summary")).join(rows, F.lit(True), "left").coalesce(1).write.mode("overwrite").json(f"{folder}/{name}_results")
     save_table(samples, f"{folder}/{name}_samples")
 
 
