@@ -13,6 +13,8 @@ Sizes: the tree's rows are shards x sources and the block table has a row for ea
 levels of at most 1,024 rows a group for each million blocks. Only the block in which
 a source's target falls is folded document by document: about `block_words` words.
 
+A row holds the quotas of all sources: the tree is meant for some thousands of sources, not for one a document.
+
 Defined results: a null text has size 0 and its document is taken with its block at
 0 words; null sources form one source, ordered last; rows with equal doc_id are taken
 together; an empty table gives an empty mix; other columns aren't looked at.
