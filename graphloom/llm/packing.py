@@ -18,6 +18,7 @@ looked at; a text of any length is cut only into full sequences and a rest.
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -28,10 +29,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, texts
+from .common import pieces, stored, table, texts
 
 LENGTH, CLOSE, PER_TASK = 4096, 1, 32768
-WORDS_KEPT, PARTS_KEPT = 300_000, 200_000  # of some 200 bytes each, in each of two generations: 200 MB a worker at most
+#: Words whose ids a worker keeps, in each of two generations, with half as many parts of words: some 140 bytes each, so 210 MB a worker.
+KEPT = 500_000
 #: Chunks of these characters alone are in composed form, and lower-casing keeps their number of letters.
 _PLAIN = regex.compile("[!-~¡-įı-ſ]+")
 
@@ -44,26 +46,34 @@ def tokenizer_file(path: str | None = None) -> str:
     return path
 
 
+def _field(path: str, name: str):
+    """A field of the tokenizer's file, without its vocabulary: that has a hundred thousand entries."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    at = text.index(f'"{name}"')
+    at = text.index(":", at) + 1
+    while text[at].isspace():
+        at += 1
+    return json.JSONDecoder().raw_decode(text, at)[0]
+
+
 class Encoder:
     """Texts to packed 32-bit ids (little-endian), word by word."""
 
-    _made: dict[str, Encoder] = {}
+    _made: dict[tuple, Encoder] = {}
 
-    def __init__(self, path: str):
-        import json
+    def __init__(self, path: str, kept: int = KEPT):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole = Tokenizer.from_file(path)
+        self.kept, self.whole = kept, Tokenizer.from_file(path)
         self.part = Tokenizer(self.whole.model)
         self.part.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        with open(path, encoding="utf-8") as f:
-            made = json.load(f)
-        pattern = made["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        pattern = _field(path, "pre_tokenizer")["pretokenizers"][0]["pattern"]["Regex"]
         self.split, self.runs = regex.compile(pattern), pattern.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")  # runs: letters alone are one part
-        self.special = [x["content"] for x in made["added_tokens"]]
+        self.special = [x["content"] for x in _field(path, "added_tokens")]
         self.mark = None if not self.special else self.special[0][0] if len({x[0] for x in self.special}) == 1 else ""  # what every special token begins with
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -71,26 +81,28 @@ class Encoder:
         self.old_parts: dict[str, bytes] = {}
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
-
-    def _parts(self, c: str) -> tuple[str, ...] | list[str]:
-        if self.runs:
-            if c.isalpha():
-                return (c,)
-            if c[-1] in ".,;:!?" and c[:-1].isalpha():
-                return c[:-1], c[-1]
-        return self.split.findall(c)
+    def of(cls, path: str, kept: int = KEPT) -> Encoder:
+        """The worker's encoder for a file and size; one of another size goes."""
+        if (path, kept) not in cls._made:
+            cls._made.clear()
+            cls._made[path, kept] = cls(path, kept)
+        return cls._made[path, kept]
 
     def _learn(self, new: list[bytes]) -> None:
         chars = b"\n".join(new).decode().split("\n") if new else []
-        special, mark, clean = self.special, self.mark, _PLAIN.fullmatch("".join(chars)) is not None
+        special, mark, runs, findall = self.special, self.mark, self.runs, self.split.findall
+        whole = "".join(chars)
+        clean = _PLAIN.fullmatch(whole) is not None and not (mark is not None and mark in whole)
         plain, odd = [], []
         for w, c in zip(new, chars, strict=True):
-            if (clean or _PLAIN.fullmatch(c)) and not (mark is not None and mark in c and any(x in c for x in special)):
-                plain.append((w, self._parts(c.lower())))
+            if clean or _PLAIN.fullmatch(c) and not (mark is not None and mark in c and any(x in c for x in special)):
+                c = c.lower()
+                if runs and c.isalpha():
+                    plain.append((w, (c,)))
+                elif runs and c[-1] in ".,;:!?" and c[:-1].isalpha():
+                    plain.append((w, (c[:-1], c[-1])))
+                else:
+                    plain.append((w, findall(c)))
             else:
                 odd.append((w, c))
         parts = self.parts
@@ -116,39 +128,39 @@ class Encoder:
                 split.append(found[at].encode().split())
                 size += len(found[at])
                 at += 1
-            if len(self.words) > WORDS_KEPT:
+            if len(self.words) > self.kept:
                 self.old_words, self.words = self.words, {}
-            if len(self.parts) > PARTS_KEPT:
+            if len(self.parts) > self.kept // 2:
                 self.old_parts, self.parts = self.parts, {}
-            known, old, new = self.words, self.old_words, []
-            for w in {w for ws in split for w in ws if w not in known}:
-                if w in old:
-                    known[w] = old[w]
-                else:
-                    new.append(w)
-            self._learn(new)
+            known, old = self.words, self.old_words
+            missing = set().union(*split).difference(known)
+            again = missing.intersection(old)
+            known.update(zip(again, map(old.__getitem__, again), strict=True))
+            self._learn(list(missing - again))
             for ws in split:
-                yield b"".join([known[w] for w in ws])
+                yield b"".join(map(known.__getitem__, ws))
 
 
-def cut(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
+def cut(docs: DataFrame, path: str | None = None, length: int = LENGTH, kept: int = KEPT) -> DataFrame:
     """docs with doc_id, text -> a row for each piece: doc_id, piece, start, length, ids_crc32."""
     path = tokenizer_file(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, close = Encoder.of(path).encode, array("I", [CLOSE]).tobytes()
-        for b in batches:
-            row, piece, start, size, crc = [], [], [], [], []
-            for i, ids in enumerate(encode(texts(b.column(1)))):
-                ids += close
-                for n, at in enumerate(range(0, len(ids), 4 * length)):
-                    part = ids[at : at + 4 * length]
-                    row.append(i)
-                    piece.append(n)
-                    start.append(at // 4)
-                    size.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, size, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        encoder, close = Encoder.of(path, kept), array("I", [CLOSE]).tobytes()
+        for whole in batches:
+            for i, j in pieces(whole, 1):
+                b = whole.slice(i, j - i)
+                row, piece, start, size, crc = [], [], [], [], []
+                for k, ids in enumerate(encoder.encode(texts(b.column(1)))):
+                    ids += close
+                    for n, at in enumerate(range(0, len(ids), 4 * length)):
+                        part = ids[at : at + 4 * length]
+                        row.append(k)
+                        piece.append(n)
+                        start.append(at // 4)
+                        size.append(len(part) // 4)
+                        crc.append(zlib.crc32(part))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, size, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -209,9 +221,9 @@ def _packer(level: int, last: bool, length: int):
     return run
 
 
-def pack(pieces: DataFrame, length: int = LENGTH, per_task: int = PER_TASK) -> DataFrame:
-    """pieces (doc_id, piece, start, length, ids_crc32) -> the same with sequence_id and offset."""
-    pool, done, level = stored(pieces), None, 0
+def pack(rows: DataFrame, length: int = LENGTH, per_task: int = PER_TASK) -> DataFrame:
+    """rows (doc_id, piece, start, length, ids_crc32) -> the same with sequence_id and offset."""
+    pool, done, level = stored(rows), None, 0
     parts = max(1, -(-pool.count() // per_task))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     while True:
@@ -242,24 +254,27 @@ def sequences(docs: DataFrame, packed: DataFrame, path: str | None = None, lengt
     path = tokenizer_file(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, close = Encoder.of(path).encode, array("I", [CLOSE]).tobytes()
-        for b in batches:
-            row, piece, ids = [], [], []
-            for i, all_ids in enumerate(encode(texts(b.column(1)))):
-                all_ids += close
-                for n, at in enumerate(range(0, len(all_ids), 4 * length)):
-                    row.append(i)
-                    piece.append(n)
-                    ids.append(np.frombuffer(all_ids[at : at + 4 * length], np.uint32).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), pa.array(ids, pa.list_(pa.int32()))], ["_id", "_piece", "ids"])
+        encoder, close = Encoder.of(path), array("I", [CLOSE]).tobytes()
+        for whole in batches:
+            for i, j in pieces(whole, 1):
+                b = whole.slice(i, j - i)
+                row, piece, ids = [], [], []
+                for k, all_ids in enumerate(encoder.encode(texts(b.column(1)))):
+                    all_ids += close
+                    for n, at in enumerate(range(0, len(all_ids), 4 * length)):
+                        row.append(k)
+                        piece.append(n)
+                        ids.append(np.frombuffer(all_ids[at : at + 4 * length], np.uint32).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), pa.array(ids, pa.list_(pa.int32()))], ["_id", "_piece", "ids"])
 
     parts = docs.select("doc_id", "text").mapInArrow(run, "_id long, _piece int, ids array<int>")
     joined = packed.join(parts, packed.doc_id.eqNullSafe(F.col("_id")) & (packed.piece == F.col("_piece")))
     return joined.groupBy("sequence_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("offset", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
-def pack_documents(docs: DataFrame) -> DataFrame:
-    return pack(cut(docs))
+def pack_documents(docs: DataFrame, kept: int = KEPT) -> DataFrame:
+    """kept: the size of a worker's word table; a smaller one takes less memory and more time, and gives the same."""
+    return pack(cut(docs, kept=kept))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,12 +162,10 @@ def test_sequences_used_are_near_the_bound(spark):
     assert bound <= used <= 1.02 * bound and bound >= -(-int(sizes.sum()) // 4096)
 
 
-def test_words_are_encoded_alike_when_tables_are_full(monkeypatch):
-    monkeypatch.setattr(packing, "WORDS_KEPT", 20)
-    monkeypatch.setattr(packing, "PARTS_KEPT", 10)
+def test_words_are_encoded_alike_when_tables_are_full():
     rng = np.random.default_rng(3)
     docs = [" ".join(f"word{x}," for x in rng.integers(0, 60, 40)) for _ in range(50)]
-    small, large = packing.Encoder(packing.tokenizer_file()), packing.Encoder.of(packing.tokenizer_file())
+    small, large = packing.Encoder(packing.tokenizer_file(), 20), packing.Encoder.of(packing.tokenizer_file())
     for k in range(0, 50, 5):
         assert list(small.encode(docs[k : k + 5])) == list(large.encode(docs[k : k + 5]))
     assert len(small.words) + len(small.old_words) < 200
