@@ -38,7 +38,7 @@ from .common import partitions, pieces, stored, texts, utf8
 
 RUN = 128  # windows of a segment at most
 HELD = 400_000  # segments that a task settles at once
-CROWD = 1024  # segments of an anchor in one block
+CROWD, SALTS = 1024, 64  # segments of an anchor in one block; parts of a join on common anchors
 BLOCK = 1 << 21  # bytes of text whose windows are settled together
 _U = np.uint64
 _rng = np.random.default_rng(20240607)
@@ -393,9 +393,11 @@ def repeats(docs: DataFrame, rule: Rule, block: int = BLOCK, crowd: int = CROWD)
     n = partitions(docs)
     met = docs.select("doc", "tag", "text").mapInArrow(_send(rule), ROWS).repartition(n, "r").sortWithinPartitions("r", "s", "doc", "place", "tag")
     found = stored(met.mapInArrow(_meet(rule, False), MET))
-    look = found.where(F.col("kind") == LOOK).select("r", "doc", "tag", "place")
+    # an anchor that is common everywhere has rows from every task: its rows learn how many there are in SALTS parts
+    look = found.where(F.col("kind") == LOOK).select("r", "doc", "tag", "place", F.pmod(F.xxhash64("doc", "tag"), F.lit(SALTS)).cast("int").alias("salt"))
     crowds = look.groupBy("r").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("r", F.ceil(F.col("n") / crowd).alias("parts"))
-    dealt = look.join(crowds, "r", "left")
+    crowds = crowds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = look.join(crowds, ["r", "salt"], "left")
     part = F.xxhash64("r", F.pmod(F.xxhash64("doc", "tag"), F.col("parts")))
     dealt = dealt.select("doc", "tag", "place", F.coalesce(part, F.col("r")).alias("q"), F.isnull("parts").alias("final"))
     # `row` isn't read here: with it both joins read one exchange of the documents
