@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import pieces, stored, table, texts
 
 LENGTH, CLOSE, PER_TASK = 4096, 1, 32768
-#: Words whose ids a worker keeps, in each of two generations, with half as many parts of words: some 140 bytes each, so 210 MB a worker.
-KEPT = 500_000
+#: Words whose ids a worker keeps, in each of two generations, with half as many parts of words: some 140 bytes each, so 340 MB a worker at most.
+KEPT = 800_000
 #: Chunks of these characters alone are in composed form, and lower-casing keeps their number of letters.
 _PLAIN = regex.compile("[!-~¡-įı-ſ]+")
 
