@@ -16,9 +16,14 @@ A set's bitmap has a bit for each value of the last bits of its members' hashes,
 many bits as members: bits that one set has and the other lacks are as many members at least
 that aren't shared, which rules most candidates out for certain. The others are verified on the whole sets.
 
+Texts shuffle only if a pair to be verified has them, by a filter of at most 64 MB that loses none (a
+filter too full lets more through, for the exact join after it), and once at the end, where rows are kept.
+
 A large bucket first compares all its nodes to its least one. Where that and SimHash leave it in
 more than one component, its pairs across components are compared in blocks of `block` nodes, so that
-no task holds a whole bucket, and only pairs that their bitmaps allow leave a task. Pairs within
+no task holds a whole bucket, and only pairs that their bitmaps allow leave a task. Each row knows the
+first FIRST such buckets of its node: a pair leaves its first shared bucket and none that
+follows one known to both, so that a large family sends its pairs about once. Pairs within
 a component need no comparison: links only serve for components, which are those of all pairs
 at 4/5 or more.
 
@@ -30,6 +35,7 @@ looked at.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stored, texts
+from .common import delete, partitions, shared_folder, stored, swept, texts
 from .components import components
 from .covering import links
 from .simhash import bits_of, majority
@@ -46,6 +52,10 @@ from .simhash import bits_of, majority
 SHINGLE, SMALL, BLOCK = 5, 8, 1024
 #: Shingles in OFTEN or more of one document in SAMPLE are common; the order knows COMMON of them at most.
 SAMPLE, OFTEN, COMMON = 32, 8, 1 << 17
+#: The filter of texts to be verified: bits a key, its bits, those of a segment.
+PER_KEY, MOST_BITS, SEGMENT = 16, 1 << 29, 1 << 15
+#: Earlier crowded buckets that a row knows of its node.
+FIRST = 8
 
 
 def shingles(text: str, k: int = SHINGLE) -> np.ndarray:
@@ -188,11 +198,14 @@ def _bitmaps(found: list[bytes]) -> np.ndarray:
 
 
 def _across(rows: pa.Table) -> pa.Table:
-    """The pairs of two blocks of a bucket (or of one with itself) that bitmaps allow and whose components differ, with the members that both may share after this one."""
+    """The pairs of two blocks of a bucket (or of one with itself) that bitmaps allow, whose components differ and that share no bucket in `before`."""
     rows = rows.combine_chunks()
     node, n, i, root, own = (np.asarray(rows[c].combine_chunks()) for c in ("node", "n", "i", "root", "own"))
     bits, lo, hi = rows["bits"].to_pylist(), rows["lo"][0].as_py(), rows["hi"][0].as_py()
-    words = np.array([len(x) for x in bits]) // 8
+    words, before = np.array([len(x) for x in bits]) // 8, rows["before"].to_pylist()
+    earlier = np.full((len(node), FIRST), rows["h"][0].as_py())  # filled up with this bucket, which is before no row here
+    for x, hs in enumerate(before):
+        earlier[x, : len(hs)] = hs
     left = np.flatnonzero(own == lo)
     classes = {w: np.flatnonzero((own == hi) & (words == w)) for w in np.unique(words)}
     # sets at 4/5 differ by a quarter in size, so that bitmaps are of one size or one is twice the other
@@ -209,10 +222,12 @@ def _across(rows: pa.Table) -> pa.Table:
             mine, theirs = unshared(_folded(_bitmaps([bits[x]]), v), all_y[at])
             y = ys[at]
             y = y[9 * np.minimum(n[x] - mine, n[y] - theirs) >= 4 * (n[x] + n[y])]
+            for h in before[x]:
+                y = y[(earlier[y] != h).all(1)]
             if len(y):
-                out.append((np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), np.minimum(n[x] - i[x], n[y] - i[y]) - 1, n[x] + n[y]))
-    columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 4
-    return pa.table(dict(zip(("a", "b", "rest", "total"), columns, strict=True)))
+                out.append((np.minimum(node[x], node[y]), np.maximum(node[x], node[y])))
+    columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 2
+    return pa.table(dict(zip(("a", "b"), columns, strict=True)))
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -235,6 +250,34 @@ def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long")
 
 
+def _marks(keys: DataFrame, bits: int) -> bytes:
+    """A filter with a bit for each key (long), of bits / 8 bytes."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        marks = np.zeros(min(bits, SEGMENT), bool)
+        marks[np.asarray(rows["at"].combine_chunks())] = True
+        return pa.table({"segment": rows["segment"].slice(0, 1), "body": pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())})
+
+    at = F.col("key").bitwiseAND(F.lit(bits - 1))
+    found = keys.select(F.shiftright(at, SEGMENT.bit_length() - 1).alias("segment"), at.bitwiseAND(F.lit(SEGMENT - 1)).alias("at")).distinct().groupBy("segment").applyInArrow(run, "segment long, body binary")
+    filled = bytearray(bits // 8)
+    for segment, body in found.collect():  # bits / 8 bytes at most
+        filled[segment * len(body) : (segment + 1) * len(body)] = body
+    return bytes(filled)
+
+
+def _marked(rows: DataFrame, marks) -> DataFrame:
+    """The rows whose `key` has its bit in the broadcast filter: all that were marked, and a few others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.frombuffer(marks.value, np.uint8)
+        for b in batches:
+            at = np.asarray(b.column("key")) & (8 * len(seen) - 1)
+            yield b.filter(pa.array((seen[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets have a similarity of 4/5 or more."""
 
@@ -245,9 +288,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int) -> Da
 
     asked = stored(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "least"))
     keys = asked.select(F.col("least.doc_id").alias("_id"), F.col("least.th").alias("_th")).distinct()
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    read = rows.join(keys, (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
+    bits = max(SEGMENT, min(MOST_BITS, 1 << (PER_KEY * asked.count()).bit_length()))
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(keys.select(F.xxhash64("_id", "_th").alias("key")), bits))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).withColumn("key", F.xxhash64("doc_id", "th"))
+    read = _marked(rows, marks).join(keys, (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
     sets = stored(read.mapInArrow(run, "node long, members array<long>").join(asked.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    marks.destroy()
     one, two = (sets.select(F.col("node").alias(c), F.col("members").alias(f"m{c}")) for c in "ab")
     shared = F.size(F.array_intersect("ma", "mb"))
     return stored(pairs.join(one, "a").join(two, "b").where(9 * shared >= 4 * (F.size("ma") + F.size("mb"))).select("a", "b"))
@@ -265,23 +311,29 @@ def _alike(nodes: DataFrame) -> DataFrame:
 
 def _rooted(docs: DataFrame, k: int, small: int, block: int) -> DataFrame:
     """docs with doc_id, text -> doc_id, th, root: the same for the texts of one component."""
-    prints = stored(prefixes(docs, common(docs, k), k))
+    spark, folder = docs.sparkSession, f"{shared_folder(docs.sparkSession)}/prints-{uuid.uuid4().hex}"
+    prefixes(docs, common(docs, k), k).write.parquet(folder)
+    prints = spark.read.parquet(folder)
     nodes = stored(prints.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")))
+    prints = stored(prints.select("doc_id", "th", "node"))
+    delete(spark, folder)
     rows = nodes.select("node", "n", F.posexplode("prefix").alias("i", "h")).select("h", "node", "n", F.col("i").cast("long").alias("i"))
-    dealt = rows.repartition(partitions(docs), "h").sortWithinPartitions("h", "node")
-    got = stored(dealt.mapInArrow(_candidates(small), "h long, node long, n long, i long"))
+    got = stored(rows.repartition(partitions(docs), "h").sortWithinPartitions("h", "node").mapInArrow(_candidates(small), "h long, node long, n long, i long"))
     first = got.where("i < 0").select(F.col("h").alias("a"), F.col("node").alias("b")).union(_alike(nodes.select("node", "fp"))).distinct()
-    found = _verified(stored(_bounded(first, nodes)), docs, nodes, k)
+    bounded = stored(_bounded(first, nodes))
+    swept(spark)
+    found = _verified(bounded, docs, nodes, k)
     roots = components(found)
     crowded = got.where("i >= 0").join(roots, "node", "left").select("h", "node", "n", "i", F.coalesce("root", "node").alias("root"))
     mixed = crowded.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s")
     blocks = mixed.select("h", F.ceil(F.col("m") / block).alias("blocks"))
-    own = crowded.join(blocks, "h").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))).join(nodes.select("node", "bits"), "node")
+    own = crowded.join(blocks, "h").groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.array_sort(F.collect_list(F.struct("i", "h", "blocks"))).alias("at"))
+    own = own.join(nodes.select("node", "bits"), "node").select("node", "n", "root", "bits", "at", F.posexplode("at").alias("k", "x"))
+    own = own.select("x.*", "node", "n", "root", "bits", F.slice("at.h", F.lit(1), F.least("k", F.lit(FIRST))).alias("before")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     spread = own.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("lo", F.least("own", "c")).withColumn("hi", F.greatest("own", "c"))
-    # A pair not in `first` shares no prefix member but those counted here, and after the last of them `rest` members at most.
-    shared = spread.repartition(partitions(docs), "h", "lo", "hi").groupBy("h", "lo", "hi").applyInArrow(_across, "a long, b long, rest long, total long")
-    shared = shared.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min("rest").alias("rest"), F.first("total").alias("total"))
-    more = stored(shared.where("9 * (c + rest) >= 4 * total").select("a", "b").join(first, ["a", "b"], "left_anti"))
+    # Members have one order in all prefixes, so that what precedes a bucket in both of two nodes' lists they share.
+    across = spread.repartition(partitions(docs), "h", "lo", "hi").groupBy("h", "lo", "hi").applyInArrow(_across, "a long, b long")
+    more = stored(across.distinct().join(first, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         found = found.union(_verified(more, docs, nodes, k))
         roots = components(found)
@@ -297,7 +349,9 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, small: int = SMALL, block: in
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each near-duplicate group, with docs' own columns: that of the smallest doc_id (null last; of equal ones the smallest hash of text), and one of equal rows."""
     rooted = _rooted(docs.select("doc_id", "text"), SHINGLE, SMALL, BLOCK)
-    least = rooted.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "th")).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.th").alias("_th"))
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_hash"))
-    kept = row.join(least, (F.col("_hash") == F.col("_th")) & F.col("_doc").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["_doc", "_hash"]).select("_row.*")
+    least = rooted.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "th")).alias("x"))
+    least = stored(least.select(F.col("x.none").alias("_none"), F.coalesce("x.doc_id", F.lit(0)).alias("_doc"), F.col("x.th").alias("_hash")))
+    swept(docs.sparkSession)
+    at = ["_none", "_doc", "_hash"]  # not null, so that the join and the choice of one row share one shuffle of the rows
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.isnull("doc_id").alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_doc"), F.xxhash64("text").alias("_hash"))
+    return row.join(least, at, "left_semi").dropDuplicates(at).select("_row.*")

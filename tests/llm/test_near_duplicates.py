@@ -1,7 +1,11 @@
 """The pipeline's near-duplicate stage against exact Jaccard components of five-word shingles."""
 
+import uuid
+
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import shingles
 
@@ -92,3 +96,39 @@ def test_every_pair_at_four_fifths_is_found(spark, awkward):
     assert grouped(spark, rows) == exact_groups(rows)
     texts = [(r.doc_id, r.text or "") for r in awkward.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text").collect()]
     assert grouped(spark, texts) == exact_groups(texts)
+
+
+def test_a_pair_leaves_about_one_of_its_buckets(spark, monkeypatch, tmp_path):
+    across, folder = shingles._across, str(tmp_path)
+
+    def noted(rows):
+        out = across(rows)
+        pq.write_table(out.select(["a", "b"]), f"{folder}/{uuid.uuid4().hex}.parquet")
+        return out
+
+    monkeypatch.setattr(shingles, "_across", noted)
+    rows = family(np.random.default_rng(12))
+    assert grouped(spark, rows, small=2, block=16) == exact_groups(rows)
+    sent = [p for f in tmp_path.glob("*.parquet") for p in map(tuple, pq.read_table(f).to_pandas().to_numpy())]
+    assert 0 < len(sent) <= 1.5 * len(set(sent))
+
+
+def test_whole_rows_shuffle_once(spark):
+    docs = spark.createDataFrame(graded(np.random.default_rng(15), families=10), "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = shingles.keep_one(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 2  # of the rows, and of the keys that are kept
+
+
+@pytest.mark.parametrize("bits", [8, 1 << 15, 1 << 18])
+def test_the_filter_of_texts_loses_no_key(spark, bits):
+    rows = spark.range(4000).select("id", F.xxhash64("id").alias("key"))
+    keys = rows.where("id % 10 = 0")
+    marks = spark.sparkContext.broadcast(shingles._marks(keys.select("key"), bits))
+    got = {r.id for r in shingles._marked(rows, marks).collect()}
+    assert set(range(0, 4000, 10)) <= got
+    assert bits == 8 or len(got) < 600
